@@ -47,3 +47,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scriptorium.llm.secrets import digest, find_secrets
 
     return digest(find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm.pii import digest, find_pii
+
+    return digest(find_pii(table(spark, sf_dir, "documents")))
