@@ -54,3 +54,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scriptorium.llm.pii import digest, find_pii
 
     return digest(find_pii(table(spark, sf_dir, "documents")))
+
+
+@query
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm.mixing import digest, mix
+
+    return digest(mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
