@@ -61,3 +61,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scriptorium.llm.mixing import digest, mix
 
     return digest(mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
