@@ -1,7 +1,7 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
-Features of a whole text: densities of a general lexicon of insults and of one mined from the training texts,
-how near lexicon words stand to a second person, capitals, punctuation and obfuscation (digits or symbols
+Features of a whole text: densities of a general lexicon of insults and of one mined from the training texts
+(words, and beginnings of words for languages that inflect or compound), how near lexicon words stand to a second person, capitals, punctuation and obfuscation (digits or symbols
 inside words, letters held, letters spaced out). The model is fitted on the driver on a sample of `sample`
 labelled training rows at most, the first by hash; its features are small rows of numbers. Scores of all
 documents are computed on the executors. A margin is calibrated on cross-fitted margins of the sample.
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import string
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,7 @@ from scriptorium.llm.common import cut
 SAMPLE = 20_000  # labelled rows fitted on, at most
 MINED = 200  # mined lexicon words kept, at most
 FOLDS = 3
+STEMS = (4, 5, 6, 7)  # letters of the word beginnings that are mined beside whole words
 
 #: General words of abuse in English, German, French and Spanish.
 LEXICON = frozenset(
@@ -40,7 +42,7 @@ LEXICON = frozenset(
     puto repugnante tonto zorra""".split()
 )
 SECOND = frozenset("you your yours yourself u ur ya du dich dir dein deine ihr euch euer tu toi te ton ta tes vous votre vos usted ustedes tus ti vosotros".split())
-NAMES = ["lexicon", "lexicon_log", "mined", "mined_log", "mined_weight", "near_second", "second", "capitals", "shouted", "exclaim", "punct", "digits_inside", "symbols_inside", "held", "spaced", "words_log", "word_length", "symbols"]
+NAMES = ["lexicon", "lexicon_log", "mined", "mined_log", "mined_weight", "stems", "stems_log", "stem_weight", "near_second", "second", "capitals", "shouted", "exclaim", "punct", "digits_inside", "symbols_inside", "held", "spaced", "words_log", "word_length", "symbols"]
 
 _TOKEN = re.compile(r"[^\W_]+(?:[*@$!1034]+[^\W_]+)*")
 _INSIDE_DIGIT = re.compile(r"[^\W\d_][0134]+[^\W\d_]")
@@ -54,6 +56,12 @@ def tokens(text: str) -> list[str]:
     return _TOKEN.findall(text.lower())
 
 
+def terms(text: str) -> set[str]:
+    """The words of a text and, marked by a star, their beginnings."""
+    own = {t for t in tokens(text) if t.isalpha() and len(t) > 2}
+    return own | {t[:k] + "*" for t in own for k in STEMS if len(t) > k}
+
+
 def features(text: str | None, mined: dict[str, float]) -> list[float]:
     text = text or ""
     found = tokens(text)
@@ -61,8 +69,14 @@ def features(text: str | None, mined: dict[str, float]) -> list[float]:
     distinct = set(found)
     known = {t: (mined.get(p), p in LEXICON) for t in distinct for p in [t if t.isalpha() or t in mined or t in LEXICON else t.translate(_LEET)] if p in mined or p in LEXICON}
     second = distinct & SECOND
-    lexicon = hits = near = 0
-    weight = 0.0
+    lexicon = hits = near = stems = 0
+    weight = stem_weight = 0.0
+    if mined:
+        for t in distinct:
+            w = max((mined.get(t[:k] + "*", 0.0) for k in STEMS if len(t) > k), default=0.0)
+            if w:
+                stems += (c := found.count(t))
+                stem_weight += w * c
     seconds = sum(map(found.count, second))
     if known:  # most texts hold none
         hit_at = []
@@ -80,7 +94,7 @@ def features(text: str | None, mined: dict[str, float]) -> list[float]:
     size = max(1, len(text))
     letters = max(1, sum(map(len, found)))
     upper = sum(map(text.count, string.ascii_uppercase))
-    return [lexicon / n, np.log1p(lexicon), hits / n, np.log1p(hits), weight, near / n, seconds / n, upper / letters, sum(1 for x in text.split() if len(x) > 2 and x.isupper()) / n, text.count("!") / n, sum(map(text.count, ".,;:?")) / n, len(_INSIDE_DIGIT.findall(text)) / n, len(_INSIDE_SYMBOL.findall(text)) / n, len(_HELD.findall(text)) / n, len(_SPACED.findall(text)) / n, np.log1p(len(found)), letters / n, sum(map(text.count, "#$%&*|")) / size]
+    return [lexicon / n, np.log1p(lexicon), hits / n, np.log1p(hits), weight, stems / n, np.log1p(stems), stem_weight / n, near / n, seconds / n, upper / letters, sum(1 for x in text.split() if len(x) > 2 and x.isupper()) / n, text.count("!") / n, sum(map(text.count, ".,;:?")) / n, len(_INSIDE_DIGIT.findall(text)) / n, len(_INSIDE_SYMBOL.findall(text)) / n, len(_HELD.findall(text)) / n, len(_SPACED.findall(text)) / n, np.log1p(len(found)), letters / n, sum(map(text.count, "#$%&*|")) / size]
 
 
 def mine(words: pd.DataFrame, toxic: int, clean: int, least: int = 5, z: float = 4.0, keep: int = MINED) -> dict[str, float]:
@@ -99,8 +113,14 @@ def fit(training: DataFrame, text_col: str = "text", label_col: str = "toxic", s
     rows = labelled.withColumn("o", F.xxhash64("text", "y")).orderBy("o").limit(sample)
 
     def held(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        t, c = Counter(), Counter()  # over one task's share of the sample
         for part in parts:
-            yield pd.DataFrame([(w, y, 1 - y) for text, y in zip(part.text, part.y, strict=True) for w in set(tokens(text)) if w.isalpha() and len(w) > 2], columns=["word", "t", "c"])
+            for text, y in zip(part.text, part.y, strict=True):
+                (t if y else c).update(terms(text))
+        every = list(t.keys() | c.keys())
+        for i in range(0, len(every), 50_000):
+            some = every[i : i + 50_000]
+            yield pd.DataFrame({"word": some, "t": [t[w] for w in some], "c": [c[w] for w in some]})
 
     rows = cut(rows)
     by_class = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
