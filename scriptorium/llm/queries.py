@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm.common import table
 
+#: The vocabulary that op8_tokens counts by.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -75,3 +78,17 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scriptorium.llm.decontaminate import find_leaks
 
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm.tokens import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), VOCABULARY).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0).withColumnRenamed("id", "vec_id")
