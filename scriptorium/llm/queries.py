@@ -92,3 +92,33 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scriptorium.llm.ann import nearest
 
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0).withColumnRenamed("id", "vec_id")
+
+
+@query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm.warc import archive
+
+    return archive(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op6_warc"] = r"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, upper(sha1(coalesce(html, ''))) AS h FROM pages),
+g AS (SELECT h, unnest(generate_series(0, 7)) AS k FROM (SELECT DISTINCT h FROM p)),
+v AS (SELECT h, k, (strpos('0123456789ABCDEF', substr(h, 5 * k + 1, 1)) - 1) * 65536 + (strpos('0123456789ABCDEF', substr(h, 5 * k + 2, 1)) - 1) * 4096
+  + (strpos('0123456789ABCDEF', substr(h, 5 * k + 3, 1)) - 1) * 256 + (strpos('0123456789ABCDEF', substr(h, 5 * k + 4, 1)) - 1) * 16
+  + (strpos('0123456789ABCDEF', substr(h, 5 * k + 5, 1)) - 1) AS x FROM g),
+c AS (SELECT h, k, substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x // 32768) % 32 + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x // 1024) % 32 + 1, 1)
+  || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x // 32) % 32 + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', x % 32 + 1, 1) AS s FROM v),
+d AS (SELECT h, string_agg(s, '' ORDER BY k) AS payload_digest FROM c GROUP BY h),
+f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+SELECT page_id, n AS payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN d USING (h) JOIN f USING (h)
+"""
+
+
+@query
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm.urls import judge
+
+    return judge(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
