@@ -1,6 +1,413 @@
-"""The registered queries over the engine's own operators, and the SQL that they must agree with."""
+"""The registered queries over the engine's own operators, and the SQL that they must agree with.
+
+The driver tables hold no blank lines, captions, headings and the like, so a query derives its input from
+documents: lines as paragraphs, and injected lines by doc_id, the same in both engines.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scriptorium.functions import text as T
+from scriptorium.operators import audio, chunking, layout, models, records, scoring
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+WS = r"[\t\n\x0b\x0c\r \x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _trim(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^{WS}+', ''), '{WS}+$', '')"
+
+
+def _collapse(x: str) -> str:
+    return f"trim(regexp_replace({x}, '{WS}+', ' ', 'g'))"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their lines as paragraphs."""
+    return _t(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+
+
+PARAS = f"""WITH l AS (SELECT doc_id, string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)) AS a FROM documents),
+e AS (SELECT doc_id, unnest(range(len(a))) AS pos, unnest(a) AS raw FROM l),
+p AS (SELECT doc_id, pos, {_trim("raw")} AS text FROM e WHERE length(regexp_replace(raw, '{WS}', '', 'g')) >= 10)
+"""
+TAGGED = PARAS + """, t AS (SELECT doc_id, row_number() OVER w AS ordinal, text, CASE WHEN lead(pos) OVER w IS NULL THEN NULL ELSE 'Paragraph' END AS trailing_boundary FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
+"""
+
+
+@query(PARAS + "SELECT doc_id, pos::INT AS pos, text FROM p")
+def paragraph_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.paragraphs(_docs(spark, sf_dir))
+
+
+@query(TAGGED + "SELECT doc_id, ordinal::INT AS ordinal, text, trailing_boundary FROM t")
+def chunk_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunks(_docs(spark, sf_dir), max_words=0)
+
+
+def _chunk_sql(most: int) -> str:
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_trim("text")}, '[^ \\t\\n\\r]+[ \\t\\n\\r]*') AS a FROM documents WHERE length(regexp_replace(text, '{WS}', '', 'g')) >= 10),
+w AS (SELECT doc_id, unnest(range(len(a))) AS k, unnest(a) AS tok, len(a) AS n FROM d),
+v AS (SELECT *, rtrim(tok, ' ' || chr(9) || chr(10) || chr(13)) AS bare, sum(octet_length(encode(tok))) OVER (PARTITION BY doc_id ORDER BY k) - octet_length(encode(tok)) AS pl FROM w),
+u AS (SELECT *, pl + octet_length(encode(bare)) AS e, CASE WHEN right(bare, 1) IN ('.', '!', '?') THEN k END AS stop FROM v),
+x AS (SELECT doc_id, k, n, lead(e, {most - 1}) OVER o AS e, min(stop) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN {most} FOLLOWING AND {most + 150} FOLLOWING) AS s FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+f AS (SELECT x.doc_id, x.k, CASE WHEN x.n - x.k <= {most} THEN x.n WHEN y.e < x.e + 150 THEN x.s + 1 ELSE x.k + {max(most - 1, 1)} END AS nxt, x.n FROM x LEFT JOIN u y ON y.doc_id = x.doc_id AND y.k = x.s),
+r AS (SELECT doc_id, k AS s, nxt, n, 1 AS ordinal FROM f WHERE k = 0 UNION ALL SELECT f.doc_id, f.k, f.nxt, f.n, r.ordinal + 1 FROM r JOIN f ON f.doc_id = r.doc_id AND f.k = r.nxt WHERE r.nxt < r.n)
+SELECT r.doc_id, r.ordinal::INT AS ordinal, {_trim("string_agg(u.tok, '' ORDER BY u.k)")} AS text, CASE WHEN max(r.nxt) < max(r.n) THEN 'Sentence' END AS trailing_boundary
+FROM r JOIN u ON u.doc_id = r.doc_id AND u.k >= r.s AND u.k < r.nxt GROUP BY r.doc_id, r.ordinal"""
+
+
+@query(_chunk_sql(200))
+def chunk_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunks(_t(spark, sf_dir, "documents").select("doc_id", "text"), max_words=200)
+
+
+@query(_chunk_sql(25))
+def chunk_words_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunks(_t(spark, sf_dir, "documents").select("doc_id", "text"), max_words=25)
+
+
+@query(PARAS + f"SELECT doc_id, count(*) AS n_paragraphs, sum(len(regexp_extract_all(text, '[^ \\t\\n\\r]+')))::BIGINT AS n_words, max(len(regexp_extract_all(text, '[^ \\t\\n\\r]+')))::INT AS longest FROM p GROUP BY doc_id")
+def doc_word_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = T.word_count(F.col("text"))
+    return chunking.paragraphs(_docs(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n_paragraphs"), F.sum(words).alias("n_words"), F.max(words).alias("longest"))
+
+
+@query("SELECT doc_id, t.ordinal::INT AS ordinal, CASE WHEN ordinal < 1000 THEN 'paragraph_' || lpad(ordinal::VARCHAR, 3, '0') ELSE 'paragraph_' || ordinal END || '.wav' AS wav, left(text, 60) AS preview FROM t".join([TAGGED, ""]))
+def artifact_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_boundaries(spark, sf_dir).select("doc_id", "ordinal", T.artifact(F.col("ordinal")).alias("wav"), T.preview(F.col("text"), 60).alias("preview"))
+
+
+# text functions over conversations, with marks that the tables lack put in by turn
+MARKED = "CASE turn % 4 WHEN 0 THEN '“' || text || '”—don’t… ' WHEN 1 THEN ' ' || text || ' – 3.2 km' WHEN 2 THEN '<think>' || text || '</think> ' || left(text, 20) ELSE text END"
+SAID = f"WITH c AS (SELECT conv_id, turn, {MARKED} AS x FROM conversations) "
+
+
+def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(MARKED.replace("left(text, 20)", "left(text, 20)")).alias("x"))
+
+
+def _normal_sql(x: str) -> str:
+    return _collapse(f"lower(regexp_replace(translate({x}, '’‘“”—–', '''''\"\"  '), '[^\\pL\\pM\\t\\n\\x0b\\x0c\\r ]', '', 'g'))")
+
+
+@query(SAID + f"SELECT conv_id, turn, {_normal_sql('x')} AS y FROM c")
+def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _said(spark, sf_dir).select("conv_id", "turn", T.normalized(F.col("x")).alias("y"))
+
+
+SANITIZED = _collapse("regexp_replace(replace(replace(replace(translate(x, '’‘“”', '''''\"\"'), '—', ' — '), '–', ' - '), '…', '...'), '[^\\x21-\\x7E \\n\\t]', '', 'g')")
+
+
+@query(SAID + f"SELECT conv_id, turn, {SANITIZED} AS y, {SANITIZED} <> {_collapse('x')} AS changed FROM c")
+def sanitize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _said(spark, sf_dir).select("conv_id", "turn", T.sanitized(F.col("x")).alias("y"), T.sanitize_changed(F.col("x")).alias("changed"))
+
+
+@query(f"SELECT lang, count(*) AS n, count(*) FILTER (WHERE {SANITIZED} <> {_collapse('x')}) AS changed FROM (SELECT lang, text AS x FROM documents) GROUP BY lang")
+def sanitize_dirty_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(T.sanitize_changed(F.col("text"))).alias("changed"))
+
+
+@query(SAID + f"SELECT conv_id, turn, CASE WHEN regexp_matches(regexp_replace(x, '{WS}+$', ''), '[.!?…\"'']$') THEN x ELSE regexp_replace(x, '{WS}+$', '') || '.' END AS y FROM c")
+def terminal_punct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _said(spark, sf_dir).select("conv_id", "turn", T.terminated(F.col("x")).alias("y"))
+
+
+@query(SAID + f"SELECT conv_id, turn, CASE WHEN strpos(x, '</think>') > 0 THEN {_trim('substr(x, strpos(x, $$</think>$$) + 8)')} ELSE x END AS y FROM c")
+def think_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _said(spark, sf_dir).select("conv_id", "turn", T.think_stripped(F.col("x")).alias("y"))
+
+
+@query("SELECT doc_id, x FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN ' DROP ' WHEN 1 THEN 'Drop' WHEN 2 THEN 'drop it' ELSE left(text, 30) END AS x FROM documents) WHERE lower(trim(x)) <> 'drop'")
+def drop_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.expr("CASE doc_id % 5 WHEN 0 THEN ' DROP ' WHEN 1 THEN 'Drop' WHEN 2 THEN 'drop it' ELSE left(text, 30) END")
+    return _t(spark, sf_dir, "documents").select("doc_id", x.alias("x")).where(~T.is_drop(F.col("x")))
+
+
+@query(r"SELECT doc_id, regexp_replace(replace(text, 'en ', 'en-' || chr(10)), '-\n([a-z])', '\1', 'g') AS y FROM documents")
+def rejoin_hyphens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", T.hyphens_rejoined(F.replace("text", F.lit("en "), F.lit("en-\n"))).alias("y"))
+
+
+def _glyph_sql(x: str) -> str:
+    for a, b in T.GLYPHS:
+        x = f"replace({x}, '{a}', '{b.replace(chr(39), chr(39) * 2)}')"
+    return _trim(f"regexp_replace(regexp_replace({x}, '\\[uni[0-9A-Fa-f]+\\]', '', 'g'), ' {{2,}}', ' ', 'g')")
+
+
+GLYPHED = "replace(replace(replace(replace(text, 'th', '[fi]th'), ' on', '[emdash]on [uni00e9]'), 'la', '[bracketleft]fl[bracketright] [bullet]'), 'er', '[quoteleft]er')"
+
+
+@query(f"SELECT doc_id, {_glyph_sql(GLYPHED)} AS y FROM documents")
+def glyph_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", T.glyphs_scrubbed(F.expr(GLYPHED)).alias("y"))
+
+
+# lines of documents, with some put in by document and place
+INJECTED = "CASE WHEN (doc_id + pos) % 11 = 0 THEN 'Figure ' || pos || '. ' || raw WHEN (doc_id + pos) % 13 = 0 THEN ' - ' || pos || ' - ' WHEN (doc_id + pos) % 17 = 0 THEN 'https://x.org/' || pos WHEN (doc_id + pos) % 19 = 0 THEN '' WHEN (doc_id + pos) % 23 = 0 AND pos > 3 THEN '7. References' WHEN (doc_id + pos) % 29 = 0 THEN 'Table of ' || raw ELSE raw END"
+LINES = f"""WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents),
+e AS (SELECT doc_id, unnest(range(len(a))) AS pos, unnest(a) AS raw FROM s),
+l AS (SELECT doc_id, pos::INT AS line_no, {INJECTED} AS text FROM e),
+j AS (SELECT *, {_trim("text")} AS x, translate({_trim("text")}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM l),
+k AS (SELECT *, x <> '' AND regexp_matches(x, '^[- ]*[0-9]*[- ]*$') AS page,
+  (octet_length(encode(x)) < 40 AND NOT regexp_matches(x, '[.?!]$')) OR regexp_matches(x, '^https?://') OR regexp_matches(x, '^10\\.[0-9]{{4,}}/') AS noise,
+  octet_length(encode(low)) <= 40 AND (regexp_replace(low, '^[0-9. ()]*', '') IN ('references', 'references and notes', 'bibliography', 'works cited', 'literature cited', 'acknowledgements', 'acknowledgments') OR starts_with(regexp_replace(low, '^[0-9. ()]*', ''), 'appendix')) AS refs,
+  regexp_matches(low, '^(figure|fig\\.|fig|table|tbl\\.|tbl) [0-9]') AS caption FROM j),
+m AS (SELECT *, max(refs) OVER (PARTITION BY doc_id ORDER BY line_no) AS in_refs FROM k),
+f AS (SELECT * FROM m WHERE x = '' OR NOT (page OR noise OR caption OR in_refs))
+"""
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    return each.select("doc_id", F.col("pos").alias("line_no"), F.expr(INJECTED).alias("text"))
+
+
+@query(LINES + "SELECT doc_id, line_no, text FROM k WHERE noise")
+def noise_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).where(T.is_noise(F.col("text")))
+
+
+@query(LINES + "SELECT doc_id, line_no, text FROM k WHERE caption")
+def caption_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).where(T.is_caption(F.col("text")))
+
+
+@query(LINES + "SELECT doc_id, line_no, text FROM k WHERE page")
+def page_number_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).where(T.is_page_number(F.col("text")))
+
+
+@query(LINES + "SELECT doc_id, line_no, in_refs FROM m")
+def refs_latch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.latched(_lines(spark, sf_dir)).select("doc_id", "line_no", "in_refs")
+
+
+@query(LINES + "SELECT doc_id, line_no, text FROM f")
+def filter_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.filter_lines(_lines(spark, sf_dir))
+
+
+@query(LINES + """, g AS (SELECT doc_id, line_no, x, sum(CASE WHEN x = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS g FROM f),
+h AS (SELECT doc_id, g, string_agg(x, ' ' ORDER BY line_no) AS text FROM g WHERE x <> '' GROUP BY doc_id, g)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g)::INT AS para, text FROM h""")
+def assemble_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.lines_to_paragraphs(layout.filter_lines(_lines(spark, sf_dir)))
+
+
+# word boxes by index: eight words a line, two columns, forty lines a page; every 37th word is wide
+BOXED = """SELECT doc_id, (k // 640)::INT AS page_no, 612.0::DOUBLE AS page_width, k::INT AS word_idx, word AS text,
+  ((k % 640) // 320 * 306 + (k % 8) * 36 + 10)::DOUBLE AS x0, ((k % 640) // 320 * 306 + (k % 8) * 36 + CASE WHEN k % 37 = 0 THEN 330 ELSE 40 END)::DOUBLE AS x1,
+  ((k % 320) // 8 * 12 + (k % 3) * 0.5)::DOUBLE AS top, ((k % 320) // 8 * 12 + (k % 3) * 0.5 + 8)::DOUBLE AS bottom
+FROM (SELECT doc_id, unnest(range(len(a))) AS k, unnest(a) AS word FROM (SELECT doc_id, list_filter(string_split_regex(text, '[ \\n]+'), lambda z: z <> '') AS a FROM documents))"""
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.filter(F.split("text", "[ \n]+"), lambda z: z != "")
+    each = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(words).alias("k", "word"))
+    return each.selectExpr(
+        "doc_id", "k div 640 AS page_no", "double(612) AS page_width", "k AS word_idx", "word AS text", "double(k % 640 div 320 * 306 + (k % 8) * 36 + 10) AS x0",
+        "double(k % 640 div 320 * 306 + (k % 8) * 36 + CASE WHEN k % 37 = 0 THEN 330 ELSE 40 END) AS x1", "double((k % 320) div 8 * 12 + (k % 3) * 0.5) AS top", "double((k % 320) div 8 * 12 + (k % 3) * 0.5 + 8) AS bottom",
+    ).withColumn("page_no", F.col("page_no").cast("int"))
+
+
+def _layout_sql(geometric: bool) -> str:
+    side = "CASE WHEN (x0 + x1) / 2 < page_width / 2 THEN 1 ELSE 2 END"
+    if geometric:
+        side = f"CASE WHEN x0 < page_width / 2 AND x1 > page_width / 2 AND least(page_width / 2 - x0, x1 - page_width / 2) / greatest(x1 - x0, 0.01 * page_width) > 0.1 THEN 0 ELSE {side} END"
+    single = "CASE WHEN sum(CASE WHEN col = 0 THEN 1 ELSE -1 END) OVER (PARTITION BY doc_id, page_no) > 0 THEN 0 ELSE col END" if geometric else "col"
+    return f"""WITH b AS ({BOXED}), c0 AS (SELECT *, {side} AS col, (top + bottom) / 2 AS y FROM b), c AS (SELECT * REPLACE ({single} AS col) FROM c0),
+n AS (SELECT *, CASE WHEN lag(col) OVER w IS NULL OR col <> lag(col) OVER w OR abs(y - lag(y) OVER w) > 3.0 THEN 1 ELSE 0 END AS new FROM c WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY col, top, x0, word_idx)),
+g AS (SELECT *, sum(new) OVER w AS line, row_number() OVER w AS pl FROM n WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY col, top, x0, word_idx)),
+t AS (SELECT doc_id, page_no, line, string_agg(text, ' ' ORDER BY pl) AS text FROM g GROUP BY ALL UNION ALL SELECT DISTINCT doc_id, page_no, NULL, '' FROM b)
+SELECT doc_id, page_no, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, line NULLS LAST)::INT AS line_no, text FROM t"""
+
+
+@query(_layout_sql(False))
+def layout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.words_to_lines(_boxes(spark, sf_dir))
+
+
+@query(_layout_sql(True))
+def layout_geometric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.words_to_lines(_boxes(spark, sf_dir), "geometric")
+
+
+# phonemes: benchmark items against copies without every fifth word, letters of ASCII only
+LEX_VALUES = ", ".join(f"({k}, '{x}')" for k, x in enumerate(scoring.SAMPLE.splitlines()))
+LEXICON = f"""x AS (SELECT * FROM (VALUES {LEX_VALUES}) v(line_no, value)), y AS (SELECT line_no, lower(split_part(split_part(value, '  ', 1), '(', 1)) AS word,
+  list_transform(string_split(split_part(value, '  ', 2), ' '), lambda z: regexp_replace(z, '[0-9]+$', '')) AS phones FROM x WHERE NOT starts_with(value, ';;;')),
+lex AS (SELECT word, arg_min(phones, line_no) AS phones FROM y GROUP BY word)"""
+SPOKEN = f"""WITH {LEXICON}, a AS (SELECT item_id AS id, regexp_replace(text, '[^ -~\\n]', '', 'g') AS original FROM benchmark),
+b AS (SELECT id, original, array_to_string(list_filter(string_split_regex(original, '[ \\n]+'), lambda z, i: i % 5 <> 0), ' ') AS transcription FROM a),
+w AS (SELECT id, k, unnest(range(len(s))) AS pl, unnest(s) AS word FROM (SELECT id, k, string_split({_normal_sql('z')}, ' ') AS s FROM (SELECT id, 0 AS k, original AS z FROM b UNION ALL SELECT id, 1, transcription FROM b))),
+p AS (SELECT id, k, pl, w.word, lex.word IS NULL AS oov, list_append(coalesce(lex.phones, list_transform(string_split(w.word, ''), lambda z: upper(z))), '|') AS t FROM w LEFT JOIN lex USING (word) WHERE w.word <> ''),
+q AS (SELECT id, k, flatten(list(t ORDER BY pl)) AS tokens FROM p GROUP BY id, k)
+"""
+CODES = " ".join(f"WHEN '{p}' THEN '{chr(97 + k)}'" for k, p in enumerate(scoring.PHONES))
+RATED = SPOKEN + f""", c AS (SELECT id, k, len(tokens) AS n, array_to_string(list_transform(tokens, lambda z: CASE z {CODES} ELSE z END), '') AS s FROM q),
+r AS (SELECT o.id, (levenshtein(o.s, h.s)::DOUBLE / greatest(o.n, h.n))::FLOAT AS per FROM c o JOIN c h ON o.id = h.id AND o.k = 0 AND h.k = 1)
+"""
+
+
+def _spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.regexp_replace("text", "[^ -~\n]", "").alias("original"))
+    return a.withColumn("transcription", F.array_join(F.filter(F.split("original", "[ \n]+"), lambda z, i: (i + 1) % 5 != 0), " "))
+
+
+@query(f"WITH {LEXICON} SELECT word, array_to_string(phones, ' ') AS phones FROM lex")
+def lexicon_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.sample_lexicon(spark).select("word", F.array_join("phones", " ").alias("phones"))
+
+
+@query(SPOKEN + "SELECT id, array_to_string(tokens, ' ') AS tokens FROM q WHERE k = 0")
+def phoneme_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.phonemes(_spoken(spark, sf_dir), scoring.sample_lexicon(spark), "original").select("id", F.array_join("tokens", " ").alias("tokens"))
+
+
+@query(SPOKEN + "SELECT id, count(*) AS n, count(*) FILTER (WHERE oov) AS oov FROM p WHERE k = 0 GROUP BY id")
+def oov_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = _spoken(spark, sf_dir).select("id", F.explode(F.split(T.normalized(F.col("original")), " ")).alias("word")).where("word <> ''")
+    known = each.join(scoring.sample_lexicon(spark), "word", "left")
+    return known.groupBy("id").agg(F.count("*").alias("n"), F.count_if(F.col("phones").isNull()).alias("oov"))
+
+
+@query(RATED + "SELECT id, round(per::DOUBLE, 6) AS per FROM r")
+def phoneme_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.scored(_spoken(spark, sf_dir), scoring.sample_lexicon(spark)).select("id", F.round(F.col("per").cast("double"), 6).alias("per"))
+
+
+@query(RATED + "SELECT id, per <= 0.15::FLOAT AS passed FROM r")
+def quarantine_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.scored(_spoken(spark, sf_dir), scoring.sample_lexicon(spark)).select("id", "passed")
+
+
+# records: events as the batch log, paragraphs as chunks with statuses by number
+EVENT = "CASE event_type WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'fail' ELSE event_type END"
+
+
+@query(f"SELECT pdf, greatest(s - e, 0) AS strikes FROM (SELECT user_id AS pdf, count(*) FILTER (WHERE {EVENT} = 'start') AS s, count(*) FILTER (WHERE {EVENT} IN ('complete', 'fail')) AS e FROM events GROUP BY 1) WHERE s > 0")
+def strike_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.strikes(_t(spark, sf_dir, "events").select(F.col("user_id").alias("pdf"), F.expr(EVENT).alias("event")))
+
+
+STATUS = "CASE WHEN doc_id % 7 = 0 THEN 'Failed' WHEN (doc_id + ordinal) % 5 = 0 THEN 'Quarantined' ELSE 'Ok' END"
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = chunk_boundaries(spark, sf_dir).withColumn("st", F.expr(STATUS))
+    status = F.struct(F.col("st").alias("status"), F.when(F.col("st") == "Quarantined", F.col("text")).alias("original_text"), F.when(F.col("st") == "Failed", F.lit("no answer")).alias("reason"))
+    return made.select(F.col("doc_id").alias("input_file"), "ordinal", T.artifact(F.col("ordinal")).alias("wav"), "trailing_boundary", status.alias("status"), "text")
+
+
+@query(TAGGED + f"SELECT {STATUS} AS status, count(*) AS n FROM t GROUP BY 1")
+def record_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.status_counts(_records(spark, sf_dir))
+
+
+@query(TAGGED + f""", c AS (SELECT doc_id AS input_file, count(*) FILTER (WHERE {STATUS} = 'Ok') AS good, count(*) FILTER (WHERE {STATUS} <> 'Ok') AS bad FROM t GROUP BY 1),
+o AS (SELECT *, CASE WHEN good = 0 THEN 'Picturebook' WHEN bad = 0 THEN 'Clean' ELSE 'Part' END AS outcome FROM c)
+SELECT *, 'complete' AS event, input_file || CASE outcome WHEN 'Clean' THEN '.mp3' WHEN 'Part' THEN '_part.mp3' ELSE '_picturebook.txt' END AS artifact FROM o""")
+def outcome_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.outcomes(_records(spark, sf_dir))
+
+
+@query(TAGGED + f"SELECT doc_id AS input_file, ordinal::INT AS ordinal, text FROM t WHERE {STATUS} = 'Quarantined'")
+def retry_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.to_retry(_records(spark, sf_dir)).select("input_file", "ordinal", "text")
+
+
+@query(TAGGED + f"SELECT doc_id AS input_file, ordinal::INT AS ordinal, CASE WHEN {STATUS} = 'Quarantined' AND ordinal % 2 = 0 THEN 'Ok' ELSE {STATUS} END AS status FROM t")
+def quarantine_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _records(spark, sf_dir)
+    return records.repaired(r, records.to_retry(r).where("ordinal % 2 = 0")).select("input_file", "ordinal", F.col("status.status").alias("status"))
+
+
+# audio: a chunk's data is taken as 100 bytes a character at 24 kHz, one channel, 16 bits
+GAPS = "((24000::BIGINT * CASE trailing_boundary WHEN 'Paragraph' THEN 600 WHEN 'Sentence' THEN 200 ELSE 0 END) // 1000 * 2)"
+PLAN = TAGGED + f", u AS (SELECT doc_id, ordinal, length(text) * 100 AS data_len, coalesce({GAPS}, 0) AS gap_len FROM t WHERE {STATUS} = 'Ok') "
+
+
+def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ok, _ = records.mergeable(_records(spark, sf_dir))
+    parts = ok.select(F.col("input_file").alias("doc_id"), "ordinal", (F.length("text").cast("long") * 100).alias("data_len"), "trailing_boundary", F.lit(24000).alias("sample_rate"), F.lit(1).alias("channels"), F.lit(16).alias("bits_per_sample"))
+    return audio.merge_plan(parts)
+
+
+@query(PLAN + "SELECT doc_id, ordinal::INT AS ordinal, gap_len::BIGINT AS gap_len, coalesce(sum(data_len + gap_len) OVER (PARTITION BY doc_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM u")
+def merge_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan(spark, sf_dir).select("doc_id", "ordinal", "gap_len", "start")
+
+
+@query(PLAN + "SELECT doc_id, least(sum(data_len + gap_len), 4294967295)::BIGINT AS data_len, least(sum(data_len + gap_len), 4294967295)::DOUBLE / 48000 AS seconds FROM u GROUP BY doc_id")
+def merged_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.merged_length(_plan(spark, sf_dir))
+
+
+@query("SELECT event_id, (8000 + event_id % 5 * 11025)::BIGINT * (event_id % 700) // 1000 * (1 + event_id % 2) * 2 AS bytes FROM events")
+def silence_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    length = audio.silence_length(F.expr("8000 + event_id % 5 * 11025"), F.expr("1 + event_id % 2"), F.lit(16), F.expr("event_id % 700"))
+    return _t(spark, sf_dir, "events").select("event_id", length.cast("long").alias("bytes"))
+
+
+@query("""WITH e AS (SELECT vec_id, embedding AS v, unnest(range(floor(len(embedding) / 0.75)::INT)) AS i FROM embeddings),
+p AS (SELECT vec_id, i, v[floor(i * 0.75::DOUBLE)::INT + 1] AS a, v[least(floor(i * 0.75::DOUBLE)::INT + 2, len(v))] AS b, (i * 0.75::DOUBLE - floor(i * 0.75::DOUBLE))::FLOAT AS f FROM e)
+SELECT vec_id, i::INT AS i, round((a + (b - a) * f)::DOUBLE, 6) AS x FROM p""")
+def resample_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _t(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(audio.resampled(F.col("embedding"), 12000)).alias("i", "x"))
+    return out.select("vec_id", "i", F.round(F.col("x").cast("double"), 6).alias("x"))
+
+
+def _wavs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = chunk_boundaries(spark, sf_dir).select(F.struct("doc_id", "ordinal", "trailing_boundary").alias("id"), "text")
+    return models.speak(texts, models.tone_speaker)
+
+
+@query(TAGGED + "SELECT doc_id, ordinal::INT AS ordinal, 24000::BIGINT AS sample_rate, (length(text) * 2)::BIGINT AS data_len FROM t")
+def wav_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.headers(_wavs(spark, sf_dir).select("id", F.col("wav").alias("content"))).select("id.doc_id", "id.ordinal", "sample_rate", "data_len")
+
+
+@query(TAGGED + f"SELECT doc_id, (44 + sum(length(text) * 2 + coalesce({GAPS}, 0)))::BIGINT AS bytes FROM t GROUP BY doc_id")
+def merged_wav(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = audio.merge(_wavs(spark, sf_dir).select("id.*", F.col("wav").alias("content")))
+    return merged.select("doc_id", F.octet_length("content").cast("long").alias("bytes"))
+
+
+def _shout() -> Callable[[str], str]:
+    """A stand-in for a rewriter: drops paragraphs of few letters, leaves those that start with E, answers the rest in upper case."""
+    return lambda text: "DROP" if len(text) < 40 else "" if text[0] == "E" else f"<think>hm</think> {text.replace('the', 'THE')}"
+
+
+@query(PARAS + """, r AS (SELECT *, CASE WHEN length(text) < 40 THEN NULL WHEN left(text, 1) = 'E' THEN text ELSE replace(text, 'the', 'THE') END AS cleaned FROM p)
+SELECT doc_id, coalesce(string_agg(cleaned, chr(10) || chr(10) ORDER BY pos), '') AS text, count(*) FILTER (WHERE cleaned <> text) AS rewritten, count(*) FILTER (WHERE cleaned IS NULL) AS dropped FROM r GROUP BY doc_id""")
+def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.clean_text(_docs(spark, sf_dir), _shout).select("doc_id", "text", "rewritten", "dropped")
+
+
+@query("SELECT item_id AS id, 1 AS attempts, 'Ok' AS status FROM benchmark")
+def validate_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    out = scoring.validate_and_retry(items, lambda d: models.speak(d, models.tone_speaker), lambda d: models.transcribe(d, models.tone_reader), scoring.sample_lexicon(spark))
+    return out.select("id", "attempts", "status")
