@@ -6,10 +6,12 @@ Two sets that share a bucket are a candidate pair when their sizes allow the sim
 the two signatures, corrected for chance collisions, lies within six standard deviations of it. Candidates
 are confirmed on the full sets.
 
-No bucket is expanded into all its pairs. Sets that are equal become one class. In each bucket every member
-is first paired with the bucket's smallest id only. Of what remains, pairs inside a component need no test;
-a bucket that holds several components pairs the members outside its largest component with all its members,
-which covers every pair of different components.
+No bucket is expanded into all its pairs. Sets that are equal become one class. In each of a few rounds one
+member of each bucket is paired with those of other components in it: first the member that meets the most
+sets in all its buckets, then the one of those outside the bucket's largest component. Pairs inside a component
+need no test. At last the members still outside the largest component of a bucket are paired with those of
+other components with which they share one of their rarest shingles, as every linked pair does; so the many
+texts of a common passage, which share buckets but no more, make no pairs.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from scriptorium.llm.common import cut, words
 from scriptorium.llm.components import components
 
 BANDS, ROWS, BITS = 30, 3, 2
+WIDE = 2048  # shingles of a set that travels with its rows
 LANES = 30  # minima in a long of the signature
 
 
@@ -65,17 +68,36 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS,
     return mins.select("id", "n", "fx", F.xxhash64("n", *[f"m{k}" for k in range(perms)]).alias("fm"), keys.alias("bands"), *packed)
 
 
+def _sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, h): the shingle sets of the ids."""
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
+    return texts.select("id", words(F.col("text")).alias("w")).select("id", shingle_set(F.col("w")).alias("h"))
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
     wanted = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
-    sets = cut(texts.select("id", words(F.col("text")).alias("w")).select("id", shingle_set(F.col("w")).alias("h")))
+    sets = cut(_sets(wanted, docs, id_col, text_col))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
     met = both.select("a", "b", F.size("ha").alias("na"), F.size("hb").alias("nb"), F.size(F.array_intersect("ha", "hb")).alias("both"))
     return cut(met.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b").distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def rare_shingles(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """(id, g): the shingles by which a set meets all that reach the similarity to it.
+
+    With the shingles of every set ordered alike, here by how many of the sets hold them, two sets of that
+    similarity share one of the first n - ceil(percent * n / 100) + 1 of each. Shingles of one set only come
+    first and meet nothing. So passages that very many texts share, which come last, make no pairs.
+    """
+    each = cut(_sets(ids, docs, id_col, text_col).select("id", F.size("h").alias("n"), F.explode_outer("h").alias("g")))
+    often = cut(each.groupBy("g").agg(F.count("*").alias("c")).where("c > 1"))
+    ranked = each.join(often, "g").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("c", "g"))).alias("s"))
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("s"))
+    return ranked.select("id", F.explode(F.slice("s", F.lit(1), F.greatest(F.lit(0), first).cast("int"))).alias("x")).select("id", "x.g")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, bands: int = BANDS, rows: int = ROWS, rounds: int = 2) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each id of docs.
 
     Links join documents with 100 * intersection >= percent * union of their shingle sets; component_id is the
@@ -94,34 +116,56 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = cut(every.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "n", "bands", *packed))
 
     member = reps.select("id", "n", *packed, F.explode("bands").alias("key"))
-    shared = member.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("c")).where("c > 1").select("key", "pivot")
-    pivots = cut(shared.join(reps.select(F.col("id").alias("pivot"), F.col("n").alias("pn"), *[F.col(s).alias(f"p{s}") for s in packed]), "pivot"))
-    bucket = cut(member.join(pivots, "key"))
+    crowded = cut(member.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
+    bucket = cut(member.join(crowded, "key"))
+    # the id that meets the most others stands nearest to the middle of a group of copies: the best one to pair with all
+    weight = cut(bucket.groupBy("id").agg(F.sum("c").alias("w")))
+    bucket = cut(bucket.drop("c").join(weight, "id"))
 
     may = least_matches(percent / 100, perms)
 
     def plausible(n1: str, n2: str, s1: str, s2: str) -> Column:
         return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (_matches(s1, s2, longs, perms) >= may)
 
-    stars = bucket.where((F.col("id") != F.col("pivot")) & plausible("n", "pn", "s", "ps"))
-    links = _confirmed(cut(stars.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()), docs, id_col, text_col, percent)
+    facts = ("id", "n", "comp", *packed)
+
+    def linked(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+        """Confirmed links between members of left and right that share the key and aren't in one component."""
+        sides = [side.select(key, *[F.col(c).alias(mark + c) for c in facts]) for side, mark in ((left, "l"), (right, "r"))]
+        met = sides[0].join(sides[1], key).where((F.col("lcomp") != F.col("rcomp")) & plausible("ln", "rn", "ls", "rs"))
+        pairs = cut(met.select(F.least("lid", "rid").alias("a"), F.greatest("lid", "rid").alias("b")).distinct())
+        return pairs if pairs.isEmpty() else _confirmed(pairs, docs, id_col, text_col, percent)
+
     twice = every.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
-    own = every.join(twice, "id", "left_semi").join(classes, ["n", "fx", "fm"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    links = cut(links.union(own))
+    links = cut(every.join(twice, "id", "left_semi").join(classes, ["n", "fx", "fm"]).select(F.col("id").alias("a"), F.col("rep").alias("b")))
     labels = components(links)
-
-    named = cut(bucket.select("key", "id", "n", *packed).join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
-    counts = named.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    mixed = cut(counts.groupBy("key").agg(F.max_by("comp", "c").alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main"))
-    apart = cut(named.join(mixed, "key").where("comp != main"))
-    if not apart.isEmpty():
-        left = apart.select("key", F.col("id").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"), *[F.col(s).alias(f"a{s}") for s in packed])
-        met = left.join(named, (left.key == named.key) & (F.col("ac") != F.col("comp")) & plausible("an", "n", "as", "s"))
-        pairs = cut(met.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct())
-        if not pairs.isEmpty():
-            more = _confirmed(pairs, docs, id_col, text_col, percent)
-            if not more.isEmpty():
-                labels = components(links.union(more), labels)
+    for turn in range(rounds + 1):
+        named = cut(bucket.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
+        counts = named.groupBy("key", "comp").agg(F.count("*").alias("c"))
+        mixed = cut(counts.groupBy("key").agg(F.max_by("comp", "c").alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main"))
+        # outside a bucket's largest component: at first all, as every member is its own
+        apart = named if turn == 0 else cut(named.join(mixed, "key").where("comp != main").drop("main"))
+        if turn and apart.isEmpty():
+            break
+        if turn < rounds:  # one member of each bucket with all others
+            hub = apart.groupBy("key").agg(F.max_by("id", F.shiftleft("w", 16) + F.pmod(F.hash("id"), F.lit(65536))).alias("id"))
+            more = linked(cut(named.join(hub, ["key", "id"])), named, "key")
+        else:  # what is still apart with all others: every pair of different components
+            pool = cut(named.join(mixed, "key", "left_semi").select(*facts).distinct())
+            rare = cut(rare_shingles(pool.select("id"), docs, id_col, text_col, percent).join(pool, "id"))
+            outer = cut(rare.join(cut(apart.select("id").distinct()), "id", "left_semi"))
+            # small sets travel with their shingles and are compared where they meet; pairs of larger ones are confirmed as elsewhere
+            sets = cut(_sets(pool.where(F.col("n") <= WIDE).select("id"), docs, id_col, text_col))
+            sides = [cut(side.join(sets, "id").select("g", *[F.col(c).alias(mark + c) for c in (*facts, "h")])) for side, mark in ((outer, "l"), (rare, "r"))]
+            common = F.size(F.array_intersect("lh", "rh"))
+            same = 100 * common >= percent * (F.col("ln") + F.col("rn") - common)
+            met = sides[0].join(sides[1], (sides[0].g == sides[1].g) & (F.col("lcomp") != F.col("rcomp")) & plausible("ln", "rn", "ls", "rs") & same)
+            more = cut(met.select(F.least("lid", "rid").alias("a"), F.greatest("lid", "rid").alias("b")).distinct())
+            large = f"n > {WIDE * percent // 100}"
+            more = more.union(linked(outer.where(large), rare.where(large), "g"))
+        if not more.isEmpty():
+            links = cut(links.union(more))
+            labels = components(links, labels)
 
     placed = cut(classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("n", "fx", "fm", F.coalesce("comp", "rep").alias("comp")))
     found = every.select("id", "n", "fx", "fm").join(placed, ["n", "fx", "fm"]).select("id", F.col("n").cast("long").alias("n"), "comp")
