@@ -126,6 +126,7 @@ def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_
     asked = held.join(t, F.col("source").eqNullSafe(F.col("ts"))).withColumn("full", full).withColumn("rest", F.col("target") - F.col("full") * F.col("source_size"))
     after = F.sum("words").over(order)
     placed = cut(asked.withColumn("rank", F.row_number().over(order) - 1).withColumn("after", after).withColumn("room", F.greatest(F.lit(0.0), F.least(F.col("words").cast("double"), F.col("rest") - (F.col("after") - F.col("words"))))))
+    placed = placed.withColumn("part", F.col("rest") > F.col("after") - F.col("words"))
     # the block that the part of a pass ends in is taken by documents: those whose running size lies nearest to the room
     edge = placed.where("room > 0 AND room < words").select(F.col("source").alias("es"), F.col("block").alias("eb"), "room")
     inside = Window.partitionBy("source").orderBy("u")
@@ -133,22 +134,22 @@ def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_
     cutoff = within.withColumn("sum", F.sum("size").over(inside)).where((F.col("sum") - F.col("room")) <= (F.col("room") - (F.col("sum") - F.col("size")))).groupBy("source").agg(F.max("u").alias("last"))
     ends = cut(cutoff.select(F.col("source").alias("cs"), "last"))
 
-    quota = F.col("full") + F.when(F.col("room") > 0, 1).otherwise(0)
+    quota = F.col("full") + F.col("part").cast("int")
     k = targets.select(F.col("source").alias("ks"), (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1).alias("k"))
-    drawn = cut(placed.join(k, F.col("source").eqNullSafe(F.col("ks"))).select("k", "source", "block", "rank", "full", "room", "words", "source_size", "target", "b", quota.alias("quota")))
+    drawn = cut(placed.join(k, F.col("source").eqNullSafe(F.col("ks"))).select("k", "source", "block", "rank", "full", "room", "words", "part", "source_size", "target", "b", quota.alias("quota")))
     counts = split_quotas(drawn.groupBy("k").agg(F.sum("quota").cast("long").alias("quota")), shards, seed)
     ranges = cut(counts.withColumn("end", F.sum("n").over(Window.partitionBy("k").orderBy("shard"))).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("end", "shard"))).alias("ends")))
     # a source's draws in order: pass after pass over its blocks; the d-th goes to the first shard whose range ends beyond it
     pass_at = F.transform(F.sequence(F.lit(0), F.col("quota") - 1), lambda p: p.cast("long") * F.col("b") + F.col("rank"))
 
     def shard_of(d: Column) -> Column:
-        return F.coalesce(F.element_at(F.filter("ends", lambda e: e["end"] > d), 1)["shard"], F.element_at("ends", -1)["shard"])
+        return F.coalesce(F.get(F.filter("ends", lambda e: e["end"] > d), F.lit(0))["shard"], F.element_at("ends", -1)["shard"])
 
     to = drawn.where("quota > 0").join(ranges, "k").select("k", "block", F.transform(pass_at, shard_of).alias("shards"))
     plan = cut(
         drawn.join(to, ["k", "block"], "left")
         .join(ends, F.col("source").eqNullSafe(F.col("cs")), "left")
-        .select(F.col("source").alias("ps"), F.col("block").alias("pb"), "full", (F.col("room") >= F.col("words")).alias("whole"), (F.col("room") > 0).alias("part"), "last", "source_size", "target", "shards")
+        .select(F.col("source").alias("ps"), F.col("block").alias("pb"), "full", (F.col("room") >= F.col("words")).alias("whole"), "part", "last", "source_size", "target", "shards")
     )
     with_block = named.withColumn("__u", key).withColumn("__block", F.pmod("__u", F.lit(blocks)).cast("int"))
     joined = with_block.join(plan, F.col(source_col).eqNullSafe(F.col("ps")) & (F.col("__block") == F.col("pb")))
