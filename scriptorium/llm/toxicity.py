@@ -106,11 +106,10 @@ def mine(words: pd.DataFrame, toxic: int, clean: int, least: int = 5, z: float =
     return dict(zip(strong.word, strong.odds.round(6), strict=True))
 
 
-def fit(training: DataFrame, text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> tuple[dict[str, float], Trees, Isotonic]:
-    """(mined lexicon, trees, calibration) from labelled rows; null labels and texts of no row are left out. No rows: a constant score."""
-    # ordered by a hash of what each row holds: the same sample however the rows are dealt
+def fit(training: DataFrame, text_col: str = "text", label_col: str = "toxic") -> tuple[dict[str, float], Trees, Isotonic]:
+    """(mined lexicon, trees, calibration) from labelled rows, of which the caller bounds the number; null labels are left out. No rows: a constant score."""
     labelled = training.where(F.col(label_col).isNotNull()).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), (F.col(label_col) > 0).cast("int").alias("y"))
-    rows = labelled.withColumn("o", F.xxhash64("text", "y")).orderBy("o").limit(sample)
+    rows = labelled.withColumn("o", F.xxhash64("text", "y"))
 
     def held(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t, c = Counter(), Counter()  # over one task's share of the sample
@@ -169,6 +168,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     its score. Several labels of an id: each a row. Other columns of docs are not read, whatever their names.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col("toxic").alias("y")).where(F.col("y").isNotNull() & ~held_out("id"))
-    training = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, "id")
-    model = fit(training, "text", "y", sample)
+    # chosen among the narrow labels, the first by hash: the same however rows are dealt, and no text is shuffled for it;
+    # the chosen are `sample` rows at most, which is the proven bound of what is broadcast
+    chosen = cut(known.withColumn("o", F.xxhash64("id", "y")).orderBy("o", "id").limit(sample).select("id", "y"))
+    training = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    model = fit(training, "text", "y")
     return score(docs, model, id_col, text_col).select("id", held_out("id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
