@@ -4,13 +4,14 @@
 header lines, and every record's declared length says where the next one starts. `to_warc` synthesises the
 equivalent WARC record: an identifier from the record's own fields and payload, the 14-digit date in ISO form,
 the type, and payload and block digests. WARC files are text files of Spark's writer with CRLF CRLF, the
-record terminator of the format, as line separator; so they have the commit protocol of any output. Readers
+record terminator of the format, as line separator; so they have the commit protocol of any output; they are gzipped. Readers
 take whole files and step by Content-Length.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -145,7 +146,7 @@ def convert(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str =
 
     # ids as strings: a null would make pandas read whole numbers as floats
     text = known.select(F.col("id").cast("string").alias("id"), "url", "html", F.col("refers").cast("string").alias("refers"))
-    text.mapInPandas(converted, "value string").write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records).mode("overwrite").text(path)
+    text.mapInPandas(converted, "value string").write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records).option("compression", "gzip").mode("overwrite").text(path)
 
 
 def read(spark, path: str) -> DataFrame:
@@ -155,7 +156,7 @@ def read(spark, path: str) -> DataFrame:
         for part in parts:
             for content in part.content:
                 rows = []
-                for head, block in parse_warc(bytes(content)):
+                for head, block in parse_warc(gzip.decompress(bytes(content))):
                     http = block.find(b"\r\n\r\n") + 4 if block.startswith(b"HTTP/") else 0
                     revisit = head["WARC-Type"] == "revisit"
                     size = int(re.search(rb"Content-Length: (\d+)", block[:http])[1]) if revisit else len(block) - http
