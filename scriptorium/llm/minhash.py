@@ -11,22 +11,25 @@ member of each bucket is paired with those of other components in it: first the
 sets in all its buckets, then the one of those outside the bucket's largest component. Pairs inside a component
 need no test. At last the members still outside the largest component of a bucket are paired with those of
 other components with which they share one of their rarest shingles, as every linked pair does; so the many
-texts of a common passage, which share buckets but no more, make no pairs.
+texts of a common passage, which share buckets but no more, make no pairs. There an exact bound comes before
+the full sets: a set's parity bits tell for each of 64 * PARITY bins whether it holds an odd number of shingles,
+so the bits in which two sets differ are at most the shingles that only one of them holds.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from hashlib import sha256
 from math import ceil, sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import cut, words
+from scriptorium.llm.common import Scratch, words
 from scriptorium.llm.components import components
 
 BANDS, ROWS, BITS = 30, 3, 2
-WIDE = 2048  # shingles of a set that travels with its rows
+PARITY = 8  # longs of a set's parity bits
 LANES = 30  # minima in a long of the signature
 
 
@@ -55,17 +58,34 @@ def _matches(a: str, b: str, longs: int, perms: int) -> Column:
     return F.lit(perms) - reduce(lambda x, y: x + y, differ)
 
 
+def _salt(k: int) -> Column:
+    """The long that sets the k-th hash function apart: shingles are hashes, so a mix of their bits with it gives another order."""
+    return F.lit(int.from_bytes(sha256(str(k).encode()).digest()[:8], "big", signed=True))
+
+
+def _parity(k: int) -> Column:
+    """The k-th long of the parity bits of the shingles x of a group."""
+    return F.expr(f"bit_xor(if((shiftright(x, 6) & {PARITY - 1}) = {k}, shiftleft(1L, cast(x & 63 AS int)), 0L))").alias(f"p{k}")
+
+
+def _near_enough(a: str, b: str, percent: int) -> Column:
+    """Whether sets of sizes {a}n, {b}n whose parity bits differ as they do may reach the similarity; never false where they reach it."""
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}p{k}").bitwiseXOR(F.col(f"{b}p{k}"))) for k in range(PARITY)])
+    # of a union u at most (100 - percent) * u / 100 lie apart, and u is half of both sizes and what lies apart
+    return apart * (100 + percent) <= (100 - percent) * (F.col(f"{a}n") + F.col(f"{b}n"))
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per document of at least one word: id, n (size of its set), fp (two longs that name the set), bands, s0.. (packed low bits)."""
+    """One row per document of at least one word: id, n (size of its set), fp (two longs that name the set), bands, s0.. (packed low bits), p0.. (parity bits)."""
     perms = bands * rows
     sets = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w")).select("id", shingle_set(F.col("w")).alias("h"))
     # explode_outer, and the test on an aggregate: else the optimizer infers filters on h and evaluates it again inside them
     each = sets.where(F.col("id").isNotNull()).select("id", F.size("h").alias("n"), F.explode_outer("h").alias("x"))
     # rows that share an id are told apart by the size of their sets, so that the minima of each are its own
-    mins = each.groupBy("id", "n").agg(F.bit_xor("x").alias("fx"), *[F.min(F.hash("x", F.lit(k))).alias(f"m{k}") for k in range(perms)]).where("fx IS NOT NULL")
+    mins = each.groupBy("id", "n").agg(F.bit_xor("x").alias("fx"), *[_parity(k) for k in range(PARITY)], *[F.min(F.hash(F.col("x").bitwiseXOR(_salt(k)))).alias(f"m{k}") for k in range(perms)]).where("fx IS NOT NULL")
     packed = [reduce(Column.bitwiseOR, [F.shiftleft(F.col(f"m{k * LANES + j}").bitwiseAND(3).cast("long"), 2 * j) for j in range(LANES) if k * LANES + j < perms]).alias(f"s{k}") for k in range(ceil(perms / LANES))]
     keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]) for b in range(bands)])
-    return mins.select("id", "n", "fx", F.xxhash64("n", *[f"m{k}" for k in range(perms)]).alias("fm"), keys.alias("bands"), *packed)
+    return mins.select("id", "n", "fx", F.xxhash64("n", *[f"m{k}" for k in range(perms)]).alias("fm"), keys.alias("bands"), *packed, *[f"p{k}" for k in range(PARITY)])
 
 
 def _sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -74,7 +94,7 @@ def _sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFr
     return texts.select("id", words(F.col("text")).alias("w")).select("id", shingle_set(F.col("w")).alias("h"))
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, cut: Scratch) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
     wanted = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
     sets = cut(_sets(wanted, docs, id_col, text_col))
@@ -83,7 +103,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, pe
     return cut(met.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b").distinct())
 
 
-def rare_shingles(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+def rare_shingles(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, cut: Scratch) -> DataFrame:
     """(id, g): the shingles by which a set meets all that reach the similarity to it.
 
     With the shingles of every set ordered alike, here by how many of the sets hold them, two sets of that
@@ -109,18 +129,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs are not read, whatever their names. No rows: no rows.
     """
     perms, longs = bands * rows, ceil(bands * rows / LANES)
-    packed = [f"s{k}" for k in range(longs)]
+    packed, parity = [f"s{k}" for k in range(longs)], [f"p{k}" for k in range(PARITY)]
+    # kept for the result; for all rounds; for one round (at first: to make the buckets)
+    keep, base, cut = (Scratch(docs.sparkSession) for _ in range(3))
     ids = docs.select(F.col(id_col).alias("id")).where(F.col("id").isNotNull())
-    every = cut(signatures(docs, id_col, text_col, bands, rows))
-    classes = cut(every.groupBy("n", "fx", "fm").agg(F.min("id").alias("rep")))
-    reps = cut(every.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "n", "bands", *packed))
+    every = keep(signatures(docs, id_col, text_col, bands, rows))
+    classes = keep(every.groupBy("n", "fx", "fm").agg(F.min("id").alias("rep")))
+    reps = base(every.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "n", "bands", *packed, *parity))
 
     member = reps.select("id", "n", *packed, F.explode("bands").alias("key"))
     crowded = cut(member.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
     bucket = cut(member.join(crowded, "key"))
     # the id that meets the most others stands nearest to the middle of a group of copies: the best one to pair with all
     weight = cut(bucket.groupBy("id").agg(F.sum("c").alias("w")))
-    bucket = cut(bucket.drop("c").join(weight, "id"))
+    bucket = base(bucket.drop("c").join(weight, "id"))
+    cut.drop()
 
     may = least_matches(percent / 100, perms)
 
@@ -129,45 +152,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     facts = ("id", "n", "comp", *packed)
 
-    def linked(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-        """Confirmed links between members of left and right that share the key and aren't in one component."""
-        sides = [side.select(key, *[F.col(c).alias(mark + c) for c in facts]) for side, mark in ((left, "l"), (right, "r"))]
-        met = sides[0].join(sides[1], key).where((F.col("lcomp") != F.col("rcomp")) & plausible("ln", "rn", "ls", "rs"))
+    def linked(left: DataFrame, right: DataFrame, key: str, exact: bool = False) -> DataFrame:
+        """Confirmed links between members of left and right that share the key and aren't in one component; exact: both hold parity bits, which test a pair where it meets."""
+        sides = [side.select(key, *[F.col(c).alias(mark + c) for c in (*facts, *(parity if exact else ()))]) for side, mark in ((left, "l"), (right, "r"))]
+        likely = plausible("ln", "rn", "ls", "rs") & _near_enough("l", "r", percent) if exact else plausible("ln", "rn", "ls", "rs")
+        met = sides[0].join(sides[1], key).where((F.col("lcomp") != F.col("rcomp")) & likely)
         pairs = cut(met.select(F.least("lid", "rid").alias("a"), F.greatest("lid", "rid").alias("b")).distinct())
-        return pairs if pairs.isEmpty() else _confirmed(pairs, docs, id_col, text_col, percent)
+        return pairs if pairs.isEmpty() else _confirmed(pairs, docs, id_col, text_col, percent, cut)
 
     twice = every.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
-    links = cut(every.join(twice, "id", "left_semi").join(classes, ["n", "fx", "fm"]).select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    links = keep(every.join(twice, "id", "left_semi").join(classes, ["n", "fx", "fm"]).select(F.col("id").alias("a"), F.col("rep").alias("b")))
     labels = components(links)
     for turn in range(rounds + 1):
+        cut = Scratch(docs.sparkSession)
         named = cut(bucket.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
         counts = named.groupBy("key", "comp").agg(F.count("*").alias("c"))
         mixed = cut(counts.groupBy("key").agg(F.max_by("comp", "c").alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main"))
         # outside a bucket's largest component: at first all, as every member is its own
         apart = named if turn == 0 else cut(named.join(mixed, "key").where("comp != main").drop("main"))
         if turn and apart.isEmpty():
+            cut.drop()
             break
         if turn < rounds:  # one member of each bucket with all others
             hub = apart.groupBy("key").agg(F.max_by("id", F.shiftleft("w", 16) + F.pmod(F.hash("id"), F.lit(65536))).alias("id"))
             more = linked(cut(named.join(hub, ["key", "id"])), named, "key")
         else:  # what is still apart with all others: every pair of different components
             pool = cut(named.join(mixed, "key", "left_semi").select(*facts).distinct())
-            rare = cut(rare_shingles(pool.select("id"), docs, id_col, text_col, percent).join(pool, "id"))
+            pool = cut(pool.join(reps.select("id", *parity), "id"))
+            rare = cut(rare_shingles(pool.select("id"), docs, id_col, text_col, percent, cut).join(pool, "id"))
             outer = cut(rare.join(cut(apart.select("id").distinct()), "id", "left_semi"))
-            # small sets travel with their shingles and are compared where they meet; pairs of larger ones are confirmed as elsewhere
-            sets = cut(_sets(pool.where(F.col("n") <= WIDE).select("id"), docs, id_col, text_col))
-            sides = [cut(side.join(sets, "id").select("g", *[F.col(c).alias(mark + c) for c in (*facts, "h")])) for side, mark in ((outer, "l"), (rare, "r"))]
-            common = F.size(F.array_intersect("lh", "rh"))
-            same = 100 * common >= percent * (F.col("ln") + F.col("rn") - common)
-            met = sides[0].join(sides[1], (sides[0].g == sides[1].g) & (F.col("lcomp") != F.col("rcomp")) & plausible("ln", "rn", "ls", "rs") & same)
-            more = cut(met.select(F.least("lid", "rid").alias("a"), F.greatest("lid", "rid").alias("b")).distinct())
-            large = f"n > {WIDE * percent // 100}"
-            more = more.union(linked(outer.where(large), rare.where(large), "g"))
+            more = linked(outer, rare, "g", exact=True)
         if not more.isEmpty():
-            links = cut(links.union(more))
+            links = keep(links.union(more))
             labels = components(links, labels)
+        cut.drop()
 
-    placed = cut(classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("n", "fx", "fm", F.coalesce("comp", "rep").alias("comp")))
+    placed = keep(classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("n", "fx", "fm", F.coalesce("comp", "rep").alias("comp")))
+    base.drop()
     found = every.select("id", "n", "fx", "fm").join(placed, ["n", "fx", "fm"]).select("id", F.col("n").cast("long").alias("n"), "comp")
     bare = ids.select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("comp"))
     whole = found.union(bare).groupBy("id").agg(F.max("n").alias("n_shingles"), F.min("comp").alias("component_id"))

@@ -239,3 +239,19 @@ def test_pipeline_stages(spark):
     assert out[1].text == "a [SECRET] b" and out[1].n_chars == 12 and out[2].text is None and out[3].text == "plain" and out[None].text == "x [SECRET]"
     kept = corpus_pipeline.one_of_a_kind(spark, table.unionAll(table.where("doc_id = 3").withColumn("doc_id", F.lit(9).cast("long"))), "")
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 2, 3] and kept.columns == table.columns
+
+
+def test_parity_bits_never_part_what_is_alike(spark):
+    rng = random.Random(5)
+    texts = []
+    for n in (1, 4, 5, 6, 12, 60, 300, 1500):
+        base = [f"w{rng.randrange(9 * n)}" for _ in range(n)]
+        texts += [" ".join(w if rng.random() > share else f"v{rng.randrange(99)}" for w in base) for share in (0, 0.01, 0.03, 0.06, 0.2) for _ in range(3)]
+    made = docs(spark, dict(enumerate(texts)).items())
+    sets = {r.id: set(r.h) for r in minhash._sets(made.select(F.col("doc_id").alias("id")), made, "doc_id", "text").collect()}
+    signed = minhash.signatures(made, "doc_id", "text")
+    both = [signed.select(*[F.col(c).alias(side + c) for c in ("id", "n", *[f"p{k}" for k in range(minhash.PARITY)])]) for side in "lr"]
+    met = both[0].join(both[1], F.col("lid") < F.col("rid")).select("lid", "rid", minhash._near_enough("l", "r", 75).alias("near")).collect()
+    alike = [100 * len(sets[r.lid] & sets[r.rid]) >= 75 * len(sets[r.lid] | sets[r.rid]) for r in met]
+    assert sum(alike) > 20 and all(r.near for r, yes in zip(met, alike, strict=True) if yes)
+    assert sum(not r.near for r in met) > len(met) / 2
