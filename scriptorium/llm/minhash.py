@@ -25,7 +25,7 @@ from math import ceil, sqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import Scratch, words
+from scriptorium.llm.common import Scratch, cut, words
 from scriptorium.llm.components import components
 
 BANDS, ROWS, BITS = 30, 3, 2
@@ -76,13 +76,24 @@ def _near_enough(a: str, b: str, percent: int) -> Column:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per document of at least one word: id, n (size of its set), fp (two longs that name the set), bands, s0.. (packed low bits), p0.. (parity bits)."""
+    """One row per id and set of at least one word: id, n (size of the set), fx, fm (two longs that name the set), bands, s0.. (packed low bits), p0.. (parity bits)."""
     perms = bands * rows
-    sets = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w")).select("id", shingle_set(F.col("w")).alias("h"))
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
+    # a set that stands twice would put each shingle in twice, and bit_xor would take it out again: the rows of
+    # repeated ids are made distinct first, and the sets of an id are told apart by a hash of the whole set
+    twice = cut(narrow.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id"))
+
+    def sets(some: DataFrame) -> DataFrame:
+        return some.select("id", words(F.col("text")).alias("w")).select("id", shingle_set(F.col("w")).alias("h"))
+
     # explode_outer, and the test on an aggregate: else the optimizer infers filters on h and evaluates it again inside them
-    each = sets.where(F.col("id").isNotNull()).select("id", F.size("h").alias("n"), F.explode_outer("h").alias("x"))
-    # rows that share an id are told apart by the size of their sets, so that the minima of each are its own
-    mins = each.groupBy("id", "n").agg(F.bit_xor("x").alias("fx"), *[_parity(k) for k in range(PARITY)], *[F.min(F.hash(F.col("x").bitwiseXOR(_salt(k)))).alias(f"m{k}") for k in range(perms)]).where("fx IS NOT NULL")
+    if twice.isEmpty():
+        each = sets(narrow).select("id", F.size("h").alias("n"), F.lit(0).cast("long").alias("own"), F.explode_outer("h").alias("x"))
+    else:
+        again = sets(narrow.join(twice, "id", "left_semi")).select("id", F.array_sort("h").alias("h")).distinct()
+        each = sets(narrow.join(twice, "id", "left_anti")).select("id", F.size("h").alias("n"), F.lit(0).cast("long").alias("own"), F.explode_outer("h").alias("x"))
+        each = each.unionAll(again.select("id", F.size("h").alias("n"), F.xxhash64("h").alias("own"), F.explode_outer("h").alias("x")))
+    mins = each.groupBy("id", "n", "own").agg(F.bit_xor("x").alias("fx"), *[_parity(k) for k in range(PARITY)], *[F.min(F.hash(F.col("x").bitwiseXOR(_salt(k)))).alias(f"m{k}") for k in range(perms)]).where("fx IS NOT NULL")
     packed = [reduce(Column.bitwiseOR, [F.shiftleft(F.col(f"m{k * LANES + j}").bitwiseAND(3).cast("long"), 2 * j) for j in range(LANES) if k * LANES + j < perms]).alias(f"s{k}") for k in range(ceil(perms / LANES))]
     keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]) for b in range(bands)])
     return mins.select("id", "n", "fx", F.xxhash64("n", *[f"m{k}" for k in range(perms)]).alias("fm"), keys.alias("bands"), *packed, *[f"p{k}" for k in range(PARITY)])

@@ -255,3 +255,16 @@ def test_parity_bits_never_part_what_is_alike(spark):
     alike = [100 * len(sets[r.lid] & sets[r.rid]) >= 75 * len(sets[r.lid] | sets[r.rid]) for r in met]
     assert sum(alike) > 20 and all(r.near for r, yes in zip(met, alike, strict=True) if yes)
     assert sum(not r.near for r in met) > len(met) / 2
+
+
+def test_repeated_rows_keep_links_of_the_last_round(spark):
+    def text(k, changed=0):
+        return " ".join(f"{'x' if j < changed else 'w'}{k}_{j}" for j in range(204))
+
+    # 0: a row that stands twice; 10: two texts of equal size under one id; 20: both; each with a near copy
+    rows = [(0, text(0)), (0, text(0)), (1, text(0, 8)), (10, text(1)), (10, text(2)), (11, text(1, 8)), (12, text(2, 8)), (20, text(3)), (20, text(3)), (20, text(4)), (21, text(3, 8)), (22, text(4, 8)), (30, text(5))]
+    for rounds in (0, 2):  # 0: the last round alone
+        got = {r.id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs(spark, rows), rounds=rounds).collect()}
+        assert got == {i: (200, i // 10 * 10) for i, _ in rows}
+    signed = minhash.signatures(docs(spark, rows), "doc_id", "text")
+    assert signed.count() == 11 and signed.where("fx = 0").count() == 0
