@@ -23,7 +23,6 @@ from scriptorium.llm.boosting import Isotonic, Trees
 from scriptorium.llm.common import cut
 
 SAMPLE = 20_000  # labelled rows fitted on, at most
-MINED = 200  # mined lexicon words kept, at most
 FOLDS = 3
 STEMS = (4, 5, 6, 7)  # letters of the word beginnings that are mined beside whole words
 
@@ -97,13 +96,13 @@ def features(text: str | None, mined: dict[str, float]) -> list[float]:
     return [lexicon / n, np.log1p(lexicon), hits / n, np.log1p(hits), weight, stems / n, np.log1p(stems), stem_weight / n, near / n, seconds / n, upper / letters, sum(1 for x in text.split() if len(x) > 2 and x.isupper()) / n, text.count("!") / n, sum(map(text.count, ".,;:?")) / n, len(_INSIDE_DIGIT.findall(text)) / n, len(_INSIDE_SYMBOL.findall(text)) / n, len(_HELD.findall(text)) / n, len(_SPACED.findall(text)) / n, np.log1p(len(found)), letters / n, sum(map(text.count, "#$%&*|")) / size]
 
 
-def mine(words: pd.DataFrame, toxic: int, clean: int, least: int = 5, z: float = 4.0, keep: int = MINED) -> dict[str, float]:
-    """Words whose log odds of standing in a toxic text exceed z standard errors; words: word, t, c (texts of each kind that hold it)."""
-    t, c = words.t.to_numpy(float), words.c.to_numpy(float)
-    odds = np.log((t + 0.5) / (toxic - t + 0.5)) - np.log((c + 0.5) / (clean - c + 0.5))
-    error = np.sqrt(1 / (t + 0.5) + 1 / (toxic - t + 0.5) + 1 / (c + 0.5) + 1 / (clean - c + 0.5))
-    strong = words.assign(z=odds / error, odds=odds)[(t >= least) & (odds / error >= z)].sort_values(["z", "word"], ascending=[False, True]).head(keep)
-    return dict(zip(strong.word, strong.odds.round(6), strict=True))
+def mine(words: DataFrame, toxic: int, clean: int, least: int = 5, z: float = 4.0) -> dict[str, float]:
+    """Every word whose log odds of standing in a toxic text exceed z standard errors; words: word, t, c (texts of each kind that hold it)."""
+    t, c = F.col("t").cast("double"), F.col("c").cast("double")
+    odds = F.log((t + 0.5) / (toxic - t + 0.5)) - F.log((c + 0.5) / (clean - c + 0.5))
+    error = F.sqrt(1 / (t + 0.5) + 1 / (toxic - t + 0.5) + 1 / (c + 0.5) + 1 / (clean - c + 0.5))
+    strong = words.where(t >= least).select("word", odds.alias("odds"), error.alias("error")).where(F.col("odds") >= z * F.col("error"))
+    return {r["word"]: round(r["odds"], 6) for r in strong.orderBy("word").collect()}
 
 
 def fit(training: DataFrame, text_col: str = "text", label_col: str = "toxic") -> tuple[dict[str, float], Trees, Isotonic]:
@@ -125,9 +124,7 @@ def fit(training: DataFrame, text_col: str = "text", label_col: str = "toxic") -
     by_class = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = by_class.get(1, 0), by_class.get(0, 0)
     counted = rows.select("text", "y").mapInPandas(held, "word string, t long, c long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    # at least as often among toxic texts as five of them, and with odds above even: the few that mine() may keep
-    likely = counted.where((F.col("t") >= 5) & (F.col("t") * max(clean, 1) > 2 * F.col("c") * max(toxic, 1))).orderBy((F.col("t") * max(clean, 1) - F.col("c") * max(toxic, 1)).desc(), "word").limit(20 * MINED)
-    mined = mine(likely.toPandas().astype({"t": float, "c": float}), toxic, clean)
+    mined = mine(counted, toxic, clean)
 
     def dense(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

@@ -268,3 +268,13 @@ def test_repeated_rows_keep_links_of_the_last_round(spark):
         assert got == {i: (200, i // 10 * 10) for i, _ in rows}
     signed = minhash.signatures(docs(spark, rows), "doc_id", "text")
     assert signed.count() == 11 and signed.where("fx = 0").count() == 0
+
+
+def test_every_term_over_the_bound_is_mined(spark):
+    strong = [(f"w{k:04}", 60, 3) for k in range(5000)] + [("rare", 20, 0)]  # rare: high odds, the least difference of counts
+    counted = spark.createDataFrame([*strong, ("often", 60, 600), ("few", 4, 0)], "word string, t long, c long")
+    assert toxicity.mine(counted, 100, 1000).keys() == {w for w, _, _ in strong}
+    many = [f"v{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300)]
+    texts = [(" ".join(many), 1)] * 40 + [("plain words only", 0)] * 200
+    mined, _, _ = toxicity.fit(spark.createDataFrame(texts, "text string, toxic int"))
+    assert mined.keys() == set(many)
