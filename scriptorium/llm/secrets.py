@@ -35,12 +35,19 @@ class Rule:
     base: bool = False
 
 
+#: A private key in PEM: to its END line; where that is missing, over its header fields and lines of base64.
+PRIVATE_KEY = (
+    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+    r"(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,20}PRIVATE KEY-----"
+    r"|(?:(?:\s|\\[nrt])*+(?:(?:Proc-Type|DEK-Info):[^\n]*+|[A-Za-z0-9+/]{16,}+={0,2}+))*+(?:[\r\n]++[A-Za-z0-9+/]{1,15}+={0,2}+(?![^\r\n]))?+)"
+)
+
 #: The base kinds in order, then formats of credentials as their issuers publish them.
 RULES = [
     Rule("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 1, True),
     Rule("access", r"AKIA[A-Z0-9]+", 20, 0, True),
     Rule("hex", r"[0-9a-f]{24,}", 24, 0, True),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    Rule("private_key", PRIVATE_KEY),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
