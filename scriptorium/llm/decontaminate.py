@@ -1,10 +1,10 @@
 """Benchmark decontamination by the q-gram lemma and banded alignment.
 
 Texts are compared in lower case with runs of white space as one space, as UTF-8 bytes. An item is cut into
-pieces of `piece` bytes or so at word boundaries; a document leaks an item where one piece occurs within
-`budget` of its length in edits. A piece of n bytes within k edits of a region shares at least n - q + 1 - k*q
-of its q-grams with it, on diagonals no more than k apart. So the q-grams that a text shares with any piece are
-counted in overlapping bands of diagonals 2k wide, one every k; bands that reach the bound are verified by
+pieces of `piece` bytes or so, one from each word on, so that any run of its whole words a word longer than that
+holds a piece; a document leaks an item where one piece occurs within `budget` of its length in edits. A piece of n bytes within k edits of a region shares at least n - q + 1 - k*q
+of its q-grams with it, on diagonals no more than k apart. So the q-grams that a text shares with an item are
+sorted in overlapping bands of diagonals 2k wide, one every k, and counted for each piece; those that reach the bound are verified by
 alignment inside the band. A band's count needs no more than the text's own matching positions.
 
 The index of the q-grams of all pieces is built once on the driver in blocks of `block` items and broadcast;
@@ -43,6 +43,24 @@ def pieces_of(item: bytes, piece: int = PIECE) -> list[bytes]:
     return out
 
 
+def overlapping(item: bytes, piece: int = PIECE) -> list[tuple[int, bytes]]:
+    """(start, piece): the item's pieces end to end, and then those from every other word on, at least `piece` bytes each."""
+    out, at = [], 0
+    for p in pieces_of(item, piece):
+        out.append((at, p))
+        at += len(p) + 1
+    known, ends = set(out), [k for k, c in enumerate(item) if c == 32] + [len(item)]
+    e = 0
+    for start in [0, *[k + 1 for k in ends[:-1]]]:
+        while e < len(ends) and ends[e] - start < piece:
+            e += 1
+        if e == len(ends):
+            break
+        if (new := (start, item[start : ends[e]])) not in known:
+            out.append(new)
+    return out
+
+
 def _codes(data: np.ndarray) -> np.ndarray:
     """Each run of Q bytes as one integer."""
     if len(data) < Q:
@@ -58,10 +76,14 @@ class Index:
     """The q-grams of the pieces of a block of items: sorted codes with piece and offset, and a bitmap of hashes to test first."""
 
     def __init__(self, items: list[tuple[int, str]], piece: int = PIECE, budget: float = BUDGET):
-        self.items = [i for i, t in items for _ in pieces_of(normal(t), piece) if normal(t)]
-        self.pieces = [p for _, t in items if normal(t) for p in pieces_of(normal(t), piece)]
+        whole = [(i, n) for i, t in items if (n := normal(t))]
+        cuts = [overlapping(n, piece) for _, n in whole]
+        self.items = [i for (i, _), own in zip(whole, cuts, strict=True) for _ in own]
+        self.pieces = [p for own in cuts for _, p in own]
+        self.start = np.array([a for own in cuts for a, _ in own], int)
+        self.head = np.cumsum([0, *map(len, cuts)])  # the first piece of each item
         self.edits = [int(budget * len(p)) for p in self.pieces]
-        parts = [(_codes(np.frombuffer(p, np.uint8)), k) for k, p in enumerate(self.pieces)]
+        parts = [(_codes(np.frombuffer(n, np.uint8)), k) for k, (_, n) in enumerate(whole)]
         codes = np.concatenate([c for c, _ in parts]) if parts else np.empty(0, np.uint64)
         owner = np.concatenate([np.full(len(c), k) for c, k in parts]) if parts else np.empty(0, int)
         offset = np.concatenate([np.arange(len(c)) for c, _ in parts]) if parts else np.empty(0, int)
@@ -72,7 +94,10 @@ class Index:
         lemma = np.array([len(p) - Q + 1 - e * Q for p, e in zip(self.pieces, self.edits, strict=True)], int)
         self.edits = [e if n >= 1 else 0 for e, n in zip(self.edits, lemma, strict=True)]
         self.need = np.where(lemma >= 1, lemma, np.maximum(1, np.array([len(p) for p in self.pieces], int) - Q + 1))
-        self.step = np.maximum(1, np.array(self.edits, int))
+        self.last = self.start + np.array([len(p) for p in self.pieces], int) - Q  # the offset of a piece's last q-gram
+        # of an item: what any of its pieces asks for, and bands wide enough for all
+        self.least = np.minimum.reduceat(self.need, self.head[:-1]) if whole else self.need
+        self.step = np.maximum(1, np.maximum.reduceat(np.array(self.edits, int), self.head[:-1])) if whole else self.need
         self.bitmap = np.zeros(1 << BITS, bool)
         self.bitmap[_slot(codes)] = True
 
@@ -89,29 +114,33 @@ class Index:
             many = self.many[place]
             entry = np.repeat(self.first[place] - np.cumsum(many) + many, many) + np.arange(many.sum())
             own, offset = self.owner[entry], self.offset[entry]
-            some = np.bincount(own, minlength=len(self.pieces))[own] >= self.need[own]  # pieces whose q-grams suffice anywhere
+            some = np.bincount(own, minlength=len(self.least))[own] >= self.least[own]  # items whose q-grams suffice anywhere
             own, offset = own[some], offset[some]
             # bands [s*step, (s+2)*step): overlapping, so that diagonals no more than step apart share one
             band = (np.repeat(at, many)[some] - offset) // self.step[own] + (1 << 30)
             names, rank = np.unique(own, return_inverse=True)
             key = (rank << 32) + band
-            # each q-gram of a piece counts once in a band
+            # each q-gram of an item counts once in a band
             order = np.lexsort((np.tile(offset, 2), key := np.concatenate([key, key - 1])))
             key, offset = key[order], np.tile(offset, 2)[order]
             once = np.r_[True, (key[1:] != key[:-1]) | (offset[1:] != offset[:-1])] if len(key) else np.empty(0, bool)
-            key = key[once]
+            key, offset = key[once], offset[once]
             heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, int)
-            counts = np.diff(np.r_[heads, len(key)])
-            good = key[heads]
-            good = good[counts >= self.need[names[good >> 32]]] if len(good) else good
+            ends = np.r_[heads[1:], len(key)] if len(heads) else heads
+            owners = names[key[heads] >> 32] if len(heads) else heads
+            enough = ends - heads >= self.least[owners] if len(heads) else np.empty(0, bool)
             best: dict[int, tuple[int, int, int]] = {}
-            for k, s in zip(names[good >> 32].tolist(), ((good & 0xFFFFFFFF) - (1 << 30)).tolist(), strict=True):
-                if k in best and best[k][2] == 0:
-                    continue
-                step = int(self.step[k])
-                hit = align(self.pieces[k], text, s * step, (s + 2) * step, self.edits[k])
-                if hit is not None and (k not in best or hit[2] < best[k][2]):
-                    best[k] = hit
+            for a, b, own_k in zip(heads[enough].tolist(), ends[enough].tolist(), owners[enough].tolist(), strict=True):
+                first, past, step = int(self.head[own_k]), int(self.head[own_k + 1]), int(self.step[own_k])
+                low = (int(key[a] & 0xFFFFFFFF) - (1 << 30)) * step
+                counts = np.searchsorted(offset[a:b], self.last[first:past], "right") - np.searchsorted(offset[a:b], self.start[first:past])
+                for k in (first + np.flatnonzero(counts >= self.need[first:past])).tolist():
+                    if k in best and best[k][2] == 0:
+                        continue
+                    start = int(self.start[k])
+                    hit = align(self.pieces[k], text, low + start, low + start + 2 * step, self.edits[k])
+                    if hit is not None and (k not in best or hit[2] < best[k][2]):
+                        best[k] = hit
             found = [(k, *hit) for k, hit in best.items()]
         for k, piece in enumerate(self.pieces):  # too short for a q-gram
             if 0 < len(piece) < Q and (i := (b" " + text + b" ").find(b" " + piece + b" ")) >= 0:

@@ -293,3 +293,19 @@ def test_private_keys_are_masked_whole(spark):
     table = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
     out = {r.doc_id: r.text for r in corpus_pipeline.without_secrets(spark, table, "").collect()}
     assert out == {k: "é before [SECRET]\nafter it - more" for k in range(6)} | {8: "[SECRET] and [SECRET]", 9: "[SECRET]\n" + "word- " * 50_000}
+
+
+def test_excerpts_across_pieces_leak():
+    rng = random.Random(9)
+    for _ in range(3):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(25, 90))]
+        item = " ".join(words)
+        x = decontaminate.Index([(1, "some other item of few words"), (2, item)])
+        assert all(item.encode()[a : a + len(p)] == p for a, p in decontaminate.overlapping(item.encode()))
+        assert set(decontaminate.pieces_of(item.encode())) <= set(x.pieces)
+        for first in range(0, len(words), 11):
+            held = next((" ".join(words[first:e]) for e in range(first, len(words) + 1) if len(" ".join(words[first:e])) >= 96 + 10), None)
+            if held:
+                assert {x.items[k] for k, *_ in x.search(f"zz yy {held} xx ww".encode())} == {2}
+                edited = f"zz yy {held[:40]}q{held[41:70]}{held[71:]} xx"
+                assert {x.items[k] for k, *_ in x.search(edited.encode())} == {2}
