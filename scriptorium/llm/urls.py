@@ -87,7 +87,7 @@ class Segmenter:
                     word += c
                     continue
                 if word:
-                    out += [mark + "9" * min(len(word), 8)] if word[0].isdigit() else [mark + w for w in self.split(word[:256])]
+                    out += [mark + "9" * min(len(word), 8)] if word[0].isdigit() else [mark + w for w in self.split(word)]
                 word = c if c.isalnum() else ""
         return out
 

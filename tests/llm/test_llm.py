@@ -309,3 +309,8 @@ def test_excerpts_across_pieces_leak():
                 assert {x.items[k] for k, *_ in x.search(f"zz yy {held} xx ww".encode())} == {2}
                 edited = f"zz yy {held[:40]}q{held[41:70]}{held[71:]} xx"
                 assert {x.items[k] for k, *_ in x.search(edited.encode())} == {2}
+
+
+def test_long_runs_of_a_url_are_split_to_their_end():
+    found = urls.Segmenter({"cheap": 10, "pills": 5, "pill": 1}).tokens("cheap" * 200 + "pills", "/" + "pill" * 100 + "cheap")
+    assert found == ["h:cheap"] * 200 + ["h:pills"] + ["p:pill"] * 100 + ["p:cheap"]
