@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import cut
+from scriptorium.llm.common import cut as checkpointed
 
 
-def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
+def components(links: DataFrame, start: DataFrame | None = None, cut: Callable[[DataFrame], DataFrame] = checkpointed) -> DataFrame:
     """links (a, b) -> (id, comp): for each id on a link the smallest id that it reaches.
 
     start: labels (id, comp) known already, for any of the ids. A round takes the least label of an id's

@@ -1,16 +1,17 @@
 """MinHash near-dedup with b-bit signatures, in DataFrame functions only.
 
-A document is the set of its distinct five-word shingles. The `perms` minima of the set give `bands` bucket
-keys of `rows` minima each; the low two bits of every minimum, packed in longs, are the b-bit signature.
-Two sets that share a bucket are a candidate pair when their sizes allow the similarity and the bit count of
-the two signatures, corrected for chance collisions, lies within six standard deviations of it. Candidates
-are confirmed on the full sets.
-
-No bucket is expanded into all its pairs. Sets that are equal become one class. In each of a few rounds one
-member of each bucket is paired with those of other components in it: first the member that meets the most
-sets in all its buckets, then the one of those outside the bucket's largest component. Pairs inside a component
-need no test. At last the members still outside the largest component of a bucket are paired with those of
-other components with which they share one of their rarest shingles, as every linked pair does; so the many
+A document is the set of its distinct five-word shingles. The minima of the set under bands * rows hash functions
+give `bands` bucket keys of `rows` minima each; the low two bits of every minimum, packed in longs, are the b-bit
+signature. Two sets that share a bucket are a candidate pair when their sizes allow the similarity and the
+estimate from the bit counts of the two signatures, corrected for chance collisions, lies within six standard
+deviations of it. Candidates are confirmed on the full sets.
+
+No bucket is expanded into all its pairs. Sets that are equal become one class. In each round one member of each
+bucket is paired with those of other components in it: first the member that meets the most sets in all its
+buckets, then the one of those outside the bucket's largest component; rounds go on while they find links. Pairs
+inside a component need no test. At last the members still outside the largest component of a bucket are paired
+with those of other components with which they share a bucket and one of their rarest shingles, as every linked
+pair does, at such places in the order of rarity that what follows can still reach the similarity. So the many
 texts of a common passage, which share buckets but no more, make no pairs. There an exact bound comes before
 the full sets: a set's parity bits tell for each of 64 * PARITY bins whether it holds an odd number of shingles,
 so the bits in which two sets differ are at most the shingles that only one of them holds.
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 from scriptorium.llm.common import Scratch, cut, words
 from scriptorium.llm.components import components
 
-BANDS, ROWS, BITS = 30, 3, 2
+#: With 28 * 3 minima the aggregate that makes a signature has under 100 columns, beyond which Spark compiles no code for it.
+BANDS, ROWS, BITS = 28, 3, 2
 PARITY = 8  # longs of a set's parity bits
 LANES = 30  # minima in a long of the signature
 
@@ -40,18 +42,19 @@ def shingle_set(w: Column, size: int = 5) -> Column:
     return F.when(F.size(w) >= size, F.array_distinct(runs)).when(F.size(w) > 0, short).otherwise(F.array().cast("array<bigint>"))
 
 
-def least_matches(similarity: float, perms: int, bits: int = BITS, sigmas: float = 6) -> int:
-    """Fewest equal b-bit minima of a pair that may still reach the similarity."""
-    p = similarity + (1 - similarity) / 2**bits
-    return max(0, ceil(perms * p - sigmas * sqrt(perms * p * (1 - p))))
-
-
 def estimate(matches: Column, perms: int, bits: int = BITS) -> Column:
     """Similarity from the count of equal b-bit minima, corrected for chance collisions."""
     chance = 1 / 2**bits
     return (matches / perms - chance) / (1 - chance)
 
 
+def least_estimate(similarity: float, perms: int, bits: int = BITS, sigmas: float = 6) -> float:
+    """The least estimate that a pair of the similarity gives, but for one beyond so many standard deviations."""
+    chance = 1 / 2**bits
+    p = similarity + (1 - similarity) * chance
+    return similarity - sigmas * sqrt(p * (1 - p) / perms) / (1 - chance)
+
+
 def _matches(a: str, b: str, longs: int, perms: int) -> Column:
     lanes = F.lit(int("01" * LANES, 2)).cast("long")
     differ = [F.bit_count((x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(lanes)) for k in range(longs) for x in [F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))]]
@@ -63,6 +66,12 @@ def _salt(k: int) -> Column:
     return F.lit(int.from_bytes(sha256(str(k).encode()).digest()[:8], "big", signed=True))
 
 
+def _minimum(k: int) -> Column:
+    """The k-th minimum of the shingles x of a group; one mix serves two, which order by its upper and by its lower half."""
+    mix = F.xxhash64(F.col("x").bitwiseXOR(_salt(k // 2)))
+    return F.min(mix) if k % 2 else F.shiftright(F.min(F.shiftleft(mix, 32)), 32)
+
+
 def _parity(k: int) -> Column:
     """The k-th long of the parity bits of the shingles x of a group."""
     return F.expr(f"bit_xor(if((shiftright(x, 6) & {PARITY - 1}) = {k}, shiftleft(1L, cast(x & 63 AS int)), 0L))").alias(f"p{k}")
@@ -93,8 +102,8 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS,
         again = sets(narrow.join(twice, "id", "left_semi")).select("id", F.array_sort("h").alias("h")).distinct()
         each = sets(narrow.join(twice, "id", "left_anti")).select("id", F.size("h").alias("n"), F.lit(0).cast("long").alias("own"), F.explode_outer("h").alias("x"))
         each = each.unionAll(again.select("id", F.size("h").alias("n"), F.xxhash64("h").alias("own"), F.explode_outer("h").alias("x")))
-    mins = each.groupBy("id", "n", "own").agg(F.bit_xor("x").alias("fx"), *[_parity(k) for k in range(PARITY)], *[F.min(F.hash(F.col("x").bitwiseXOR(_salt(k)))).alias(f"m{k}") for k in range(perms)]).where("fx IS NOT NULL")
-    packed = [reduce(Column.bitwiseOR, [F.shiftleft(F.col(f"m{k * LANES + j}").bitwiseAND(3).cast("long"), 2 * j) for j in range(LANES) if k * LANES + j < perms]).alias(f"s{k}") for k in range(ceil(perms / LANES))]
+    mins = each.groupBy("id", "n", "own").agg(F.bit_xor("x").alias("fx"), *[_parity(k) for k in range(PARITY)], *[_minimum(k).alias(f"m{k}") for k in range(perms)]).where("fx IS NOT NULL")
+    packed = [reduce(Column.bitwiseOR, [F.shiftleft(F.col(f"m{k * LANES + j}").bitwiseAND(3), 2 * j) for j in range(LANES) if k * LANES + j < perms]).alias(f"s{k}") for k in range(ceil(perms / LANES))]
     keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]) for b in range(bands)])
     return mins.select("id", "n", "fx", F.xxhash64("n", *[f"m{k}" for k in range(perms)]).alias("fm"), keys.alias("bands"), *packed, *[f"p{k}" for k in range(PARITY)])
 
@@ -115,17 +124,20 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, pe
 
 
 def rare_shingles(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, cut: Scratch) -> DataFrame:
-    """(id, g): the shingles by which a set meets all that reach the similarity to it.
+    """(id, n, g, at) of ids (id, outer): the shingles g, with their places, by which a set meets all outer ones that reach the similarity to it.
 
     With the shingles of every set ordered alike, here by how many of the sets hold them, two sets of that
-    similarity share one of the first n - ceil(percent * n / 100) + 1 of each. Shingles of one set only come
-    first and meet nothing. So passages that very many texts share, which come last, make no pairs.
+    similarity share one of the first n - ceil(percent * n / 100) + 1 of each. Shingles of one set only, and those
+    of no outer set, come first and meet nothing. So passages that very many texts share, which come last, make
+    no pairs. What stands from place `at` on, counted from 0, is all that two sets that first meet there share.
     """
-    each = cut(_sets(ids, docs, id_col, text_col).select("id", F.size("h").alias("n"), F.explode_outer("h").alias("g")))
-    often = cut(each.groupBy("g").agg(F.count("*").alias("c")).where("c > 1"))
+    each = cut(_sets(ids, docs, id_col, text_col).join(ids, "id").select("id", "outer", F.size("h").alias("n"), F.explode_outer("h").alias("g")))
+    often = cut(each.groupBy("g").agg(F.count("*").alias("c"), F.max("outer").alias("outer")).where("c > 1 AND outer").select("g", "c"))
     ranked = each.join(often, "g").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("c", "g"))).alias("s"))
-    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("s"))
-    return ranked.select("id", F.explode(F.slice("s", F.lit(1), F.greatest(F.lit(0), first).cast("int"))).alias("x")).select("id", "x.g")
+    before = F.col("n") - F.size("s")
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - before
+    placed = ranked.select("id", "n", before.alias("before"), F.posexplode(F.slice("s", F.lit(1), F.greatest(F.lit(0), first).cast("int"))).alias("k", "x"))
+    return placed.select("id", "n", F.col("x.g").alias("g"), (F.col("before") + F.col("k")).alias("at"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, bands: int = BANDS, rows: int = ROWS, rounds: int = 2) -> DataFrame:
@@ -133,7 +145,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Links join documents with 100 * intersection >= percent * union of their shingle sets; component_id is the
     smallest id reachable. At the similarity itself a pair shares no bucket with probability
-    (1 - s^rows)^bands, 7e-8 by default.
+    (1 - s^rows)^bands, 2e-7 by default.
 
     Null or empty texts, and texts of white space: no shingles, linked with nothing, kept. Null ids: no row.
     Rows that share an id: one row, linked as all its texts are, n_shingles of the largest. Other columns of
@@ -146,37 +158,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = docs.select(F.col(id_col).alias("id")).where(F.col("id").isNotNull())
     every = keep(signatures(docs, id_col, text_col, bands, rows))
     classes = keep(every.groupBy("n", "fx", "fm").agg(F.min("id").alias("rep")))
-    reps = base(every.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "n", "bands", *packed, *parity))
+    reps = every.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
 
-    member = reps.select("id", "n", *packed, F.explode("bands").alias("key"))
+    # of each id the keys of its buckets that hold others, and how many it meets there in all: the id that meets the
+    # most stands nearest to the middle of a group of copies, and is the best one to pair with all
+    member = reps.select("id", F.explode("bands").alias("key"))
     crowded = cut(member.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
-    bucket = cut(member.join(crowded, "key"))
-    # the id that meets the most others stands nearest to the middle of a group of copies: the best one to pair with all
-    weight = cut(bucket.groupBy("id").agg(F.sum("c").alias("w")))
-    bucket = base(bucket.drop("c").join(weight, "id"))
+    member = base(member.join(crowded, "key").groupBy("id").agg(F.collect_list("key").alias("keys"), F.sum("c").alias("w")))
+    signed = base(reps.join(member.select("id"), "id", "left_semi").select("id", "n", "bands", *packed, *parity))
     cut.drop()
 
-    may = least_matches(percent / 100, perms)
+    least = least_estimate(percent / 100, perms)
+    plausible = (100 * F.least("ln", "rn") >= percent * F.greatest("ln", "rn")) & (estimate(_matches("ls", "rs", longs, perms), perms) >= least)
 
-    def plausible(n1: str, n2: str, s1: str, s2: str) -> Column:
-        return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (_matches(s1, s2, longs, perms) >= may)
+    def linked(pairs: DataFrame, exact: bool = False) -> DataFrame:
+        """Those of the pairs (a, b) that are links; exact: pairs that share a bucket only, and tested by parity bits too."""
+        facts = ("n", *packed, *((*parity, "bands") if exact else ()))
+        both = pairs
+        for end, mark in (("a", "l"), ("b", "r")):
+            both = both.join(signed.select(F.col("id").alias(end), *[F.col(c).alias(mark + c) for c in facts]), end)
+        likely = plausible & _near_enough("l", "r", percent) & F.arrays_overlap("lbands", "rbands") if exact else plausible
+        found = cut(both.where(likely).select("a", "b"))
+        return found if found.isEmpty() else _confirmed(found, docs, id_col, text_col, percent, cut)
 
-    facts = ("id", "n", "comp", *packed)
+    def ordered(met: DataFrame) -> DataFrame:
+        return met.select(F.least("lid", "rid").alias("a"), F.greatest("lid", "rid").alias("b")).distinct()
 
-    def linked(left: DataFrame, right: DataFrame, key: str, exact: bool = False) -> DataFrame:
-        """Confirmed links between members of left and right that share the key and aren't in one component; exact: both hold parity bits, which test a pair where it meets."""
-        sides = [side.select(key, *[F.col(c).alias(mark + c) for c in (*facts, *(parity if exact else ()))]) for side, mark in ((left, "l"), (right, "r"))]
-        likely = plausible("ln", "rn", "ls", "rs") & _near_enough("l", "r", percent) if exact else plausible("ln", "rn", "ls", "rs")
-        met = sides[0].join(sides[1], key).where((F.col("lcomp") != F.col("rcomp")) & likely)
-        pairs = cut(met.select(F.least("lid", "rid").alias("a"), F.greatest("lid", "rid").alias("b")).distinct())
-        return pairs if pairs.isEmpty() else _confirmed(pairs, docs, id_col, text_col, percent, cut)
+    def sided(rows: DataFrame, on: str, mark: str) -> DataFrame:
+        return rows.select(on, *[F.col(c).alias(mark + c) for c in rows.columns if c != on])
 
     twice = every.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
     links = keep(every.join(twice, "id", "left_semi").join(classes, ["n", "fx", "fm"]).select(F.col("id").alias("a"), F.col("rep").alias("b")))
-    labels = components(links)
+    labels = keep(components(links, cut=cut))
+    cut.drop()
+    last = rounds == 0
     for turn in range(rounds + 1):
         cut = Scratch(docs.sparkSession)
-        named = cut(bucket.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
+        named = cut(member.join(labels, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"), "w", F.explode("keys").alias("key")))
         counts = named.groupBy("key", "comp").agg(F.count("*").alias("c"))
         mixed = cut(counts.groupBy("key").agg(F.max_by("comp", "c").alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main"))
         # outside a bucket's largest component: at first all, as every member is its own
@@ -184,19 +202,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if turn and apart.isEmpty():
             cut.drop()
             break
-        if turn < rounds:  # one member of each bucket with all others
-            hub = apart.groupBy("key").agg(F.max_by("id", F.shiftleft("w", 16) + F.pmod(F.hash("id"), F.lit(65536))).alias("id"))
-            more = linked(cut(named.join(hub, ["key", "id"])), named, "key")
+        if not last:  # one member of each bucket with all others
+            rank = F.shiftleft("w", 16) + F.pmod(F.hash("id"), F.lit(65536))
+            hub = apart.groupBy("key").agg(F.max_by("id", rank).alias("lid"), F.max_by("comp", rank).alias("lcomp"))
+            met = cut(hub).join(sided(named.select("key", "id", "comp"), "key", "r"), "key")
+            more = linked(cut(ordered(met.where("lcomp != rcomp"))))
         else:  # what is still apart with all others: every pair of different components
-            pool = cut(named.join(mixed, "key", "left_semi").select(*facts).distinct())
-            pool = cut(pool.join(reps.select("id", *parity), "id"))
-            rare = cut(rare_shingles(pool.select("id"), docs, id_col, text_col, percent, cut).join(pool, "id"))
-            outer = cut(rare.join(cut(apart.select("id").distinct()), "id", "left_semi"))
-            more = linked(outer, rare, "g", exact=True)
-        if not more.isEmpty():
+            outer = cut(apart.select("id").distinct())
+            pool = cut(named.join(mixed, "key", "left_semi").select("id", "comp").distinct().join(outer.withColumn("outer", F.lit(True)), "id", "left").fillna(False, "outer"))
+            rare = cut(rare_shingles(pool.select("id", "outer"), docs, id_col, text_col, percent, cut).join(pool, "id"))
+            met = sided(rare.where("outer"), "g", "l").join(sided(rare, "g", "r"), "g")
+            # all that a pair shares stands from its first common shingle on
+            reaches = (100 + percent) * F.least(F.col("ln") - F.col("lat"), F.col("rn") - F.col("rat")) >= percent * (F.col("ln") + F.col("rn"))
+            more = linked(cut(ordered(met.where((F.col("lcomp") != F.col("rcomp")) & reaches))), exact=True)
+        if more.isEmpty():
+            done, last = last, True
+        else:
             links = keep(links.union(more))
-            labels = components(links, labels)
+            labels = keep(components(links, labels, cut))
+            done, last = last, turn + 1 == rounds
         cut.drop()
+        if done:
+            break
 
     placed = keep(classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("n", "fx", "fm", F.coalesce("comp", "rep").alias("comp")))
     base.drop()
