@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions.text import trimmed
+from scriptorium.operators.rows import flat_mapped
+
+#: Silence after a paragraph and after a sentence, in milliseconds.
+PARAGRAPH_MS, SENTENCE_MS = 360, 180
 HEADER = "fmt_tag int, channels int, sample_rate long, bits_per_sample int, data_offset long, data_len long, error string"
 MOST = 4294967295
 
@@ -38,14 +41,21 @@ def write_header(tag: int, channels: int, rate: int, bits: int, size: int) -> by
 
 
 def headers(wavs: DataFrame) -> DataFrame:
-    """(id, header fields, error) of (id, content)."""
+    """(.., header fields, error) of wavs (.., content); the other columns pass through."""
+    keep = [c for c in wavs.columns if c != "content"]
+    return flat_mapped(wavs, keep, ["content"], HEADER, lambda: lambda content: [parse_header(content or b"")])
+
+
+def _little(n: Column, width: int) -> Column:
+    return F.unhex(F.concat(*[F.lpad(F.hex(F.shiftrightunsigned(n.cast("long"), 8 * i).bitwiseAND(255)), 2, "0") for i in range(width)]))
 
-    def parsed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = [(i, *parse_header(bytes(c))) for i, c in zip(part.id, part.content, strict=True)]
-            yield pd.DataFrame(rows, columns=["id", *[x.split()[0] for x in HEADER.split(", ")]], dtype=object)
 
-    return wavs.select("id", "content").mapInPandas(parsed, f"id {wavs.schema['id'].dataType.simpleString()}, {HEADER}")
+def header_bytes(tag: Column, channels: Column, rate: Column, bits: Column, size: Column) -> Column:
+    """The 44 bytes before the data; lengths saturate where the format's fields do."""
+    text = lambda x: F.lit(x.encode())
+    frame = channels * F.floor(bits / 8)
+    riff = F.least(F.lit(MOST), size + 36)
+    return F.concat(text("RIFF"), _little(riff, 4), text("WAVEfmt "), _little(F.lit(16), 4), _little(tag, 2), _little(channels, 2), _little(rate, 4), _little(rate * frame, 4), _little(frame, 2), _little(bits, 2), text("data"), _little(F.least(F.lit(MOST), size), 4))
 
 
 def silence_length(rate: Column, channels: Column, bits: Column, ms: Column) -> Column:
@@ -57,7 +67,7 @@ def gap_ms(boundary: Column, paragraph: int, sentence: int) -> Column:
     return F.when(boundary == "Paragraph", paragraph).when(boundary == "Sentence", sentence).otherwise(0)
 
 
-def merge_plan(parts: DataFrame, paragraph_ms: int = 600, sentence_ms: int = 200) -> DataFrame:
+def merge_plan(parts: DataFrame, paragraph_ms: int = PARAGRAPH_MS, sentence_ms: int = SENTENCE_MS) -> DataFrame:
     """parts (doc_id, ordinal, data_len, trailing_boundary, sample_rate, channels, bits_per_sample) with gap_len and start: its first byte in the merged data."""
     gap = silence_length(F.col("sample_rate"), F.col("channels"), F.col("bits_per_sample"), gap_ms(F.col("trailing_boundary"), paragraph_ms, sentence_ms))
     before = Window.partitionBy("doc_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
@@ -71,23 +81,27 @@ def merged_length(plan: DataFrame) -> DataFrame:
     return plan.groupBy("doc_id").agg(total.alias("data_len"), (total / rate).alias("seconds"))
 
 
-def merge(wavs: DataFrame, paragraph_ms: int = 600, sentence_ms: int = 200) -> DataFrame:
-    """(doc_id, content, error): the WAVs of each document (doc_id, ordinal, content, trailing_boundary) with their gaps, as one file."""
+def merge(wavs: DataFrame, paragraph_ms: int = PARAGRAPH_MS, sentence_ms: int = SENTENCE_MS) -> DataFrame:
+    """(doc_id, content, error): the WAVs of each document (doc_id, ordinal, content, trailing_boundary) with their gaps, as one file.
+
+    The first header that can't be read is the document's error, as are formats that differ; the format's tag isn't
+    compared, the first one stands. The bytes stay in the JVM but for the headers' reading; a document's audio must fit one value.
+    """
+    known = flat_mapped(wavs, ["doc_id", "ordinal", "trailing_boundary", "content"], ["content"], HEADER, lambda: lambda content: [parse_header(content or b"")])
+    form = F.concat_ws("/", "channels", "sample_rate", "bits_per_sample")
+    gap = silence_length(F.col("sample_rate"), F.col("channels"), F.col("bits_per_sample"), gap_ms(F.col("trailing_boundary"), paragraph_ms, sentence_ms))
+    piece = F.concat(F.substr("content", F.col("data_offset") + 1, F.least("data_len", F.octet_length("content") - F.col("data_offset"))), F.repeat(F.lit("\0"), gap.cast("int")).cast("binary"))
+    whole = known.withColumn("form", form).withColumn("piece", F.when(F.col("error").isNull(), piece).otherwise(F.lit(b"")))
+    at_first = [F.min_by(c, "ordinal").alias(c) for c in ("fmt_tag", "channels", "sample_rate", "bits_per_sample")]
+    error = F.coalesce(F.min_by("error", F.when(F.col("error").isNotNull(), F.col("ordinal"))), F.when(F.min("form") != F.max("form"), F.lit("formats differ")))
+    joined = whole.groupBy("doc_id").agg(F.expr("listagg(piece) WITHIN GROUP (ORDER BY ordinal)").alias("data"), error.alias("error"), *at_first)
+    head = header_bytes(F.col("fmt_tag"), F.col("channels"), F.col("sample_rate"), F.col("bits_per_sample"), F.octet_length("data").cast("long"))
+    return joined.select("doc_id", F.when(F.col("error").isNull(), F.concat(head, "data")).alias("content"), "error")
 
-    def joined(part: pd.DataFrame) -> pd.DataFrame:
-        doc, out, first, error = part.doc_id.iloc[0], bytearray(), None, None
-        for content, boundary in zip(part.content[part.ordinal.argsort()], part.trailing_boundary[part.ordinal.argsort()], strict=True):
-            tag, channels, rate, bits, at, size, error = parse_header(bytes(content))
-            first = first or (tag, channels, rate, bits)
-            if error or (channels, rate, bits) != first[1:]:  # the tag isn't compared
-                error = error or "formats differ"
-                break
-            ms = {"Paragraph": paragraph_ms, "Sentence": sentence_ms}.get(boundary, 0)
-            out += bytes(content)[at : at + size] + bytes(rate * ms // 1000 * channels * (bits // 8))
-        body = None if error else write_header(*first, len(out)) + bytes(out)
-        return pd.DataFrame({"doc_id": [doc], "content": [body], "error": [error]})
 
-    return wavs.groupBy("doc_id").applyInPandas(joined, f"doc_id {wavs.schema['doc_id'].dataType.simpleString()}, content binary, error string")
+def decoded(wavs: DataFrame) -> DataFrame:
+    """(.., samples) of wavs (.., content); a file that can't be read has none."""
+    return flat_mapped(wavs, [c for c in wavs.columns if c != "content"], ["content"], "samples array<float>", lambda: lambda content: [(decode(content or b""),)])
 
 
 def decode(content: bytes) -> np.ndarray:
@@ -116,4 +130,5 @@ def resampled(samples: Column, rate: int, to: int = 16000) -> Column:
 
 
 def segments_joined(segments: Column) -> Column:
-    return F.array_join(F.filter(F.transform(segments, lambda s: F.trim(s)), lambda s: s != ""), " ")
+    """A transcription's segments, trimmed of any white space, without empty ones, joined by a space."""
+    return F.array_join(F.filter(F.transform(segments, trimmed), lambda s: s != ""), " ")

@@ -5,20 +5,27 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import trimmed
+from scriptorium.operators.rows import flat_mapped
 
 WINDOW = 150  # bytes after the budget in which a sentence may still end
 
 
+def _paragraphs(text: Column, min_chars: int) -> Column:
+    """(pos, text) of each paragraph, in order."""
+    raw = F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n\n")
+    each = F.transform(raw, lambda x, i: F.struct(i.alias("pos"), trimmed(x).alias("text")))
+    return F.filter(each, lambda x: F.length(F.regexp_replace(x["text"], r"(?U)\s", "")) >= min_chars)
+
+
 def paragraphs(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """(doc_id, pos, text): the pieces between blank lines, trimmed, of at least min_chars other than white space."""
-    each = docs.select("doc_id", F.posexplode(F.split(F.replace("text", F.lit("\r\n"), F.lit("\n")), "\n\n")).alias("pos", "raw"))
-    out = each.select("doc_id", "pos", trimmed(F.col("raw")).alias("text"))
-    return out.where(F.length(F.regexp_replace("text", r"(?U)\s", "")) >= min_chars)
+    # explode_outer, and the test after it: else the optimizer infers a filter on the array and evaluates it twice
+    each = docs.select("doc_id", F.explode_outer(_paragraphs(F.col("text"), min_chars)).alias("p"))
+    return each.where("p.pos IS NOT NULL").select("doc_id", "p.pos", "p.text")
 
 
 def split_words(text: str, most: int) -> list[str]:
@@ -46,20 +53,19 @@ def split_words(text: str, most: int) -> list[str]:
 
 
 def chunks(docs: DataFrame, min_chars: int = 10, max_words: int = 200) -> DataFrame:
-    """(doc_id, ordinal, text, trailing_boundary): Paragraph after a paragraph, Sentence inside one, null after the last; max_words 0: whole paragraphs."""
-    paras = paragraphs(docs, min_chars)
-    if max_words > 0:
-
-        def split(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in parts:
-                rows = [(d, p, i, t) for d, p, x in zip(part.doc_id, part.pos, part.text, strict=True) for i, t in enumerate(split_words(x, max_words))]
-                yield pd.DataFrame(rows, columns=["doc_id", "pos", "sub", "text"])
-
-        kind = paras.schema["doc_id"].dataType.simpleString()
-        paras = paras.select("doc_id", "pos", "text").mapInPandas(split, f"doc_id {kind}, pos int, sub int, text string")
-    else:
-        paras = paras.withColumn("sub", F.lit(0))
-    order = Window.partitionBy("doc_id").orderBy("pos", "sub")
-    after = F.lead("pos").over(order)
-    tag = F.when(after.isNull(), F.lit(None)).when(after == F.col("pos"), "Sentence").otherwise("Paragraph")
-    return paras.select("doc_id", F.row_number().over(order).alias("ordinal"), "text", tag.alias("trailing_boundary"))
+    """(doc_id, ordinal, text, trailing_boundary): Paragraph after a paragraph, Sentence inside one, null after the last; max_words 0: whole paragraphs.
+
+    A document is a row and is numbered where it lies, without an exchange; null and repeated ids are rows like others.
+    """
+    paras = docs.select("doc_id", F.transform(_paragraphs(F.col("text"), min_chars), lambda x: x["text"]).alias("paras"))
+    if max_words <= 0:
+        each = paras.select("doc_id", F.size("paras").alias("n"), F.posexplode_outer("paras").alias("at", "text")).where("at IS NOT NULL")
+        return each.select("doc_id", (F.col("at") + 1).alias("ordinal"), "text", F.when(F.col("at") + 1 < F.col("n"), "Paragraph").alias("trailing_boundary"))
+
+    def split(paras: list[str] | None) -> Iterator[tuple]:
+        parts = [split_words(p, max_words) for p in paras or ()]
+        flat = [(t, "Sentence" if k + 1 < len(own) else "Paragraph") for own in parts for k, t in enumerate(own)]
+        for k, (text, tag) in enumerate(flat):
+            yield k + 1, text, tag if k + 1 < len(flat) else None
+
+    return flat_mapped(paras, ["doc_id"], ["paras"], "ordinal int, text string, trailing_boundary string", lambda: split)

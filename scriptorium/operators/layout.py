@@ -33,9 +33,12 @@ def words_to_lines(words: DataFrame, span_mode: str = "reference") -> DataFrame:
     breaks = F.coalesce((F.col("col") != F.lag("col").over(order)) | (F.abs(F.col("y") - F.lag("y").over(order)) > GAP), F.lit(True))
     lined = sided.withColumn("y", mid_y).withColumn("new", breaks.cast("int")).withColumn("line", F.sum("new").over(order)).withColumn("at", F.row_number().over(order))
     joined = lined.groupBy("doc_id", "page_no", "line").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("w")).select("doc_id", "page_no", "line", F.array_join("w.text", " ").alias("text"))
-    blank = words.select("doc_id", "page_no").distinct().select("doc_id", "page_no", F.lit(None).cast("long").alias("line"), F.lit("").alias("text"))
-    doc = Window.partitionBy("doc_id").orderBy("page_no", F.col("line").asc_nulls_last())
-    return joined.unionByName(blank).select("doc_id", "page_no", F.row_number().over(doc).alias("line_no"), "text")
+    doc = Window.partitionBy("doc_id").orderBy("page_no", "line")
+    ends = F.coalesce(F.lead("page_no").over(doc) != F.col("page_no"), F.lit(True)).cast("int")
+    before = F.coalesce(F.sum("ends").over(doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = joined.withColumn("ends", ends).withColumn("line_no", (F.row_number().over(doc) + before).cast("int"))
+    own, blank = F.struct("line_no", "text"), F.struct((F.col("line_no") + 1).alias("line_no"), F.lit("").alias("text"))
+    return numbered.select("doc_id", "page_no", F.explode(F.when(F.col("ends") == 1, F.array(own, blank)).otherwise(F.array(own))).alias("l")).select("doc_id", "page_no", "l.*")
 
 
 def clean_lines(lines: DataFrame) -> DataFrame:

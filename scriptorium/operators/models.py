@@ -2,40 +2,38 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import is_drop, think_stripped, word_count
+from scriptorium.functions.text import is_drop, think_stripped, trimmed, word_count
 from scriptorium.operators.audio import write_header
 from scriptorium.operators.chunking import paragraphs
+from scriptorium.operators.rows import flat_mapped
 
 
-def _each(f: Callable, one) -> object:
-    try:
-        return f(one)
-    except Exception:  # a model's failure is a null, never a task's failure
-        return None
+def mapped(df: DataFrame, load: Callable[[], Callable], col: str, out: str, kind: str) -> DataFrame:
+    """df with column out: load's callable, made once a task, over col; and error: what a failed call raised, whose out is null."""
 
+    def make() -> Callable:
+        model = load()
 
-def _mapped(df: DataFrame, f: Callable[[], Callable], col: str, out: str, kind: str) -> DataFrame:
-    """df with column out: f's callable, made once a task, over col."""
+        def one(x: object) -> list[tuple]:
+            try:
+                return [(model(x), None)]
+            except Exception as e:  # a model's failure is the row's, never the task's
+                return [(None, f"{type(e).__name__}: {e}")]
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = f()
-        for part in parts:
-            yield part.assign(**{out: [_each(model, x) for x in part[col]]})
+        return one
 
-    schema = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in df.schema)
-    return df.mapInPandas(run, f"{schema}, {out} {kind}")
+    return flat_mapped(df.drop(out, "error"), [c for c in df.columns if c not in (out, "error")], [col], f"{out} {kind}, error string", make)
 
 
 def rewrite(paras: DataFrame, load: Callable[[], Callable[[str], str]]) -> DataFrame:
-    """paras (.., text) with reply and cleaned: the reply after its thinking; a failed or empty reply leaves the text, DROP gives null."""
-    out = _mapped(paras, load, "text", "reply", "string").withColumn("reply", think_stripped(F.col("reply")))
-    kept = F.when(F.coalesce(F.trim("reply"), F.lit("")) == "", F.col("text")).otherwise(F.col("reply"))
+    """paras (.., text) with reply, error and cleaned: the trimmed reply after its thinking; a failed or empty reply leaves the text, DROP gives null."""
+    out = mapped(paras, load, "text", "reply", "string").withColumn("reply", think_stripped(trimmed(F.col("reply"))))
+    kept = F.when(F.coalesce("reply", F.lit("")) == "", F.col("text")).otherwise(F.col("reply"))
     return out.withColumn("cleaned", F.when(~is_drop(kept), kept))
 
 
@@ -48,15 +46,17 @@ def clean_text(docs: DataFrame, load: Callable[[], Callable[[str], str]], min_ch
         joined.alias("text"), F.sum(word_count(F.col("text"))).alias("words_before"), F.sum(F.coalesce(word_count(F.col("cleaned")), F.lit(0))).alias("words_after"),
         F.count_if(kept & (F.col("cleaned") != F.col("text"))).alias("rewritten"), F.count_if(~kept).alias("dropped"),
     )
-    return out.withColumn("changed", (F.col("rewritten") > 0) | (F.col("dropped") > 0))
+    return out.withColumn("changed", F.col("rewritten") > 0)
 
 
 def speak(texts: DataFrame, load: Callable[[], Callable[[str], bytes]]) -> DataFrame:
-    return _mapped(texts.select("id", "text"), load, "text", "wav", "binary").select("id", "wav")
+    """(.., wav, error) of texts (.., text); error: why there is no audio."""
+    return mapped(texts, load, "text", "wav", "binary").drop("text")
 
 
 def transcribe(wavs: DataFrame, load: Callable[[], Callable[[bytes], str]]) -> DataFrame:
-    return _mapped(wavs.select("id", "wav"), load, "wav", "transcription", "string").select("id", "transcription")
+    """(.., wav, transcription) of wavs (.., wav); a failure is heard as null."""
+    return mapped(wavs, load, "wav", "transcription", "string").drop("error")
 
 
 def tone_speaker() -> Callable[[str], bytes]:
@@ -71,3 +71,25 @@ def tone_speaker() -> Callable[[str], bytes]:
 
 def tone_reader() -> Callable[[bytes], str]:
     return lambda wav: bytes(wav)[44:].decode("utf-16-le")
+
+
+def command(argv: list[str]) -> Callable[[], Callable[[bytes], bytes]]:
+    """A transcoder that runs a command: bytes to its input, bytes from its output; a failure is an error with what it says."""
+
+    def make() -> Callable[[bytes], bytes]:
+        import subprocess
+
+        def run(data: bytes) -> bytes:
+            done = subprocess.run(argv, input=data, capture_output=True, check=False)
+            if done.returncode:
+                raise OSError(f"{argv[0]}: {done.stderr[-500:].decode('utf-8', 'replace')}")
+            return done.stdout
+
+        return run
+
+    return make
+
+
+def mp3_command(binary: str = "ffmpeg") -> list[str]:
+    """MP3 at variable rate, quality 2."""
+    return [binary, "-hide_banner", "-loglevel", "error", "-i", "pipe:0", "-codec:a", "libmp3lame", "-q:a", "2", "-f", "mp3", "pipe:1"]

@@ -17,9 +17,12 @@ def chunk_records(runs: DataFrame) -> DataFrame:
 
 
 def mergeable(chunks: DataFrame, files: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """(Ok chunks whose file (wav) exists, those whose file is missing)."""
+    """(Ok chunks whose file exists, those whose file is missing); files: (wav) of one run, or (input_file, wav)."""
     ok = chunks.where("status.status = 'Ok'")
-    return (ok, None) if files is None else (ok.join(files, "wav", "left_semi"), ok.join(files, "wav", "left_anti"))
+    if files is None:
+        return ok, None
+    on = [c for c in ("input_file", "wav") if c in files.columns]
+    return ok.join(files, on, "left_semi"), ok.join(files, on, "left_anti")
 
 
 def to_retry(chunks: DataFrame) -> DataFrame:
@@ -49,6 +52,14 @@ def gated(jobs: DataFrame, log: DataFrame, most: int = STRIKES) -> DataFrame:
     return jobs.join(strikes(log), "pdf", "left").withColumn("poisoned", F.coalesce("strikes", F.lit(0)) >= most).drop("strikes")
 
 
+def run_of(chunks: DataFrame, docs: DataFrame) -> DataFrame:
+    """Run records of docs (input_file, pdf_ripped, llm_clean) and their chunk records, in order."""
+    each = F.struct(F.col("ordinal").cast("long").alias("ordinal"), "wav", "trailing_boundary", "status")
+    own = chunks.groupBy("input_file").agg(F.array_sort(F.collect_list(each), lambda a, b: (a["ordinal"] - b["ordinal"]).cast("int")).alias("chunks"))
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    return docs.join(own, "input_file", "left").select(now.alias("timestamp"), F.col("input_file").cast("string").alias("input_file"), "pdf_ripped", "llm_clean", "chunks")
+
+
 def outcome(good: Column, bad: Column) -> Column:
     return F.when(good == 0, "Picturebook").when(bad == 0, "Clean").otherwise("Part")
 

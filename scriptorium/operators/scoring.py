@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import normalized, sanitize_changed, sanitized, terminated
+from scriptorium.sources.scratch import Scratch
 
 #: The two-letter phones of the dictionary's alphabet; one-letter phones stand for themselves.
 PHONES = ["AA", "AE", "AH", "AO", "AW", "AY", "CH", "DH", "EH", "ER", "EY", "HH", "IH", "IY", "JH", "NG", "OW", "OY", "SH", "TH", "UH", "UW", "ZH"]
@@ -62,10 +63,15 @@ def phonemes(texts: DataFrame, lexicon: DataFrame, text_col: str = "text") -> Da
     return texts.select("id").join(joined, "id", "left").select("id", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
 
 
+def _codes() -> dict[str, str]:
+    """A character for each token of several: phones by their place, and the upper cases of single letters by that letter, which no token is."""
+    wide = {chr(c).upper(): chr(c) for c in range(0xFFFF, 0, -1) if len(chr(c).upper()) > 1}
+    return wide | {p: chr(97 + k) for k, p in enumerate(PHONES)}
+
+
 def encoded(tokens: Column) -> Column:
     """One character a token, so that the built-in distance counts tokens."""
-    codes = F.create_map(*[x for k, p in enumerate(PHONES) for x in (F.lit(p), F.lit(chr(97 + k)))])
-    # letters whose upper case has several characters become one token here, as in the source
+    codes = F.create_map(*[F.lit(x) for pair in _codes().items() for x in pair])
     return F.array_join(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(codes, t), F.left(t, F.lit(1)))), "")
 
 
@@ -83,24 +89,48 @@ def scored(pairs: DataFrame, lexicon: DataFrame, threshold: float = THRESHOLD) -
     return a.join(b, "id").select("id", per.alias("per"), (per <= F.lit(threshold).cast("float")).alias("passed"))
 
 
-def validate_and_retry(chunks: DataFrame, speak: Callable[[DataFrame], DataFrame], transcribe: Callable[[DataFrame], DataFrame], lexicon: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, original, attempts, per, transcription, status) of chunks (id, text).
+def attempted(chunks: DataFrame, speak: Callable[[DataFrame], DataFrame], transcribe: Callable[[DataFrame], DataFrame], lexicon: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(id, original, attempt, wav, error, transcription, per, passed): the attempts at chunks (id, text), one or two of each.
 
-    speak: (id, text) -> (id, wav); transcribe: (id, wav) -> (id, transcription), null for a failure. What fails the
-    first attempt is spoken again from its sanitised text where that differs; both attempts are scored against the original.
+    speak: (id, text) -> (id, wav, error), a null wav for a failure; transcribe: (id, wav) -> (id, wav, transcription), null
+    for a failure, which is heard as nothing. A chunk that can't be spoken at first has no second attempt. What is spoken
+    but fails the threshold is spoken again, from its sanitised text where that differs; both attempts are scored against
+    the original. Each attempt is written once to the shared folder, so that a model is asked once and its answers agree.
     """
+    keep = Scratch(chunks.sparkSession)
+
+    def attempt(texts: DataFrame, number: int) -> DataFrame:
+        """texts: id, text as spoken, original."""
+        said = keep(speak(texts.select("id", "text")).select("id", "wav", "error"))
+        heard = keep(transcribe(said.where("wav IS NOT NULL").select("id", "wav")).select("id", "transcription"))
+        pairs = texts.select("id", "original").join(said, "id").join(heard, "id", "left")
+        rated = scored(pairs.where("wav IS NOT NULL").select("id", "original", "transcription"), lexicon, threshold)
+        return keep(pairs.join(rated, "id", "left").select("id", "original", F.lit(number).alias("attempt"), "wav", "error", "transcription", "per", F.coalesce("passed", F.lit(False)).alias("passed")))
+
+    first = attempt(chunks.select("id", terminated(F.col("text")).alias("text"), F.col("text").alias("original")), 1)
+    failed = first.where("wav IS NOT NULL AND NOT passed").select("id", F.col("original").alias("text"))
+    again = F.when(sanitize_changed(F.col("text")), sanitized(F.col("text"))).otherwise(F.col("text"))
+    return first.unionByName(attempt(failed.select("id", again.alias("text"), F.col("text").alias("original")), 2))
+
+
+def verdicts(attempts: DataFrame) -> DataFrame:
+    """(id, original, attempts, wav, error, per, transcription, status) from attempts: what the last one of each left.
+
+    Ok: it passed. Failed: it was never spoken. Quarantined: neither attempt passed.
+    """
+    last = attempts.groupBy("id").agg(F.max("attempt").alias("attempt"))
+    status = F.when(F.col("passed"), "Ok").when(F.col("wav").isNull() & (F.col("attempt") == 1), "Failed").otherwise("Quarantined")
+    return attempts.join(last, ["id", "attempt"]).select("id", "original", F.col("attempt").alias("attempts"), "wav", "error", "per", "transcription", status.alias("status"))
+
+
+def validate_and_retry(chunks: DataFrame, speak: Callable[[DataFrame], DataFrame], transcribe: Callable[[DataFrame], DataFrame], lexicon: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The verdicts on all attempts at chunks (id, text)."""
+    return verdicts(attempted(chunks, speak, transcribe, lexicon, threshold))
+
 
-    def attempt(texts: DataFrame, originals: DataFrame) -> DataFrame:
-        heard = transcribe(speak(texts))
-        pairs = originals.join(heard, "id", "left").select("id", F.col("text").alias("original"), "transcription")
-        return pairs.join(scored(pairs, lexicon, threshold), "id")
-
-    first = attempt(chunks.select("id", terminated(F.col("text")).alias("text")), chunks)
-    failed = first.where("NOT passed").select("id", F.col("original").alias("text"))
-    again = failed.select("id", F.when(sanitize_changed(F.col("text")), sanitized(F.col("text"))).otherwise(F.col("text")).alias("text"))
-    second = attempt(again, failed).select("id", F.col("per").alias("per2"), F.col("passed").alias("passed2"), F.col("transcription").alias("t2"))
-    both = first.join(second, "id", "left")
-    return both.select(
-        "id", "original", F.when(F.col("passed"), 1).otherwise(2).alias("attempts"), F.when(F.col("passed"), F.col("per")).otherwise(F.col("per2")).alias("per"),
-        F.when(F.col("passed"), F.col("transcription")).otherwise(F.col("t2")).alias("transcription"), F.when(F.col("passed") | F.col("passed2"), "Ok").otherwise("Quarantined").alias("status"),
-    )
+def sidecars(attempts: DataFrame) -> DataFrame:
+    """(id, transcription, report): the last transcription of each chunk, and for quarantined ones the report on them."""
+    out = verdicts(attempts)
+    heard = F.coalesce("transcription", F.lit(""))
+    report = F.format_string("ORIGINAL:\n%s\n\nTRANSCRIPTION:\n%s\n\nPHONEME_ERROR: %.4f\nATTEMPTS: %d\n", "original", heard, F.coalesce(F.col("per").cast("double"), F.lit(1.0)), "attempts")
+    return out.where("status <> 'Failed'").select("id", heard.alias("transcription"), F.when(F.col("status") == "Quarantined", report).alias("report"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tomllib
+import uuid
+from collections.abc import Callable, Iterable
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.text import stem
 from scriptorium.operators.records import LOG, RUN
+from scriptorium.operators.rows import flat_mapped
+from scriptorium.sources.scratch import remove
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
@@ -29,13 +33,35 @@ def wav_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path).select(F.col("path").alias("id"), "content")
 
 
+def pdf_words(spark: SparkSession, path: str, load: Callable[[], Callable[[bytes], Iterable[tuple]]]) -> DataFrame:
+    """Positioned words of the PDFs under path, by a caller's parser: its callable, made once a task, yields for a file's bytes
+    (page_no, page_width, word_idx, text, x0, x1, top, bottom) of each word."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(path).select(F.col("path").alias("doc_id"), "content")
+    return flat_mapped(files, ["doc_id"], ["content"], "page_no int, page_width double, word_idx int, text string, x0 double, x1 double, top double, bottom double", load)
+
+
 def run_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RUN).option("multiLine", True).json(path)
 
 
+def renamed(spark: SparkSession, old: str, new: str) -> None:
+    """Moves a file or folder; whatever stood at new goes only once the other is complete."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(new).getFileSystem(spark._jsc.hadoopConfiguration())
+    aside = f"{new}.old-{uuid.uuid4()}"
+    had = fs.exists(path(new)) and fs.rename(path(new), path(aside))
+    fs.mkdirs(path(new).getParent())
+    if not fs.rename(path(old), path(new)):
+        raise OSError(f"can't move {old} to {new}")
+    if had:
+        fs.delete(path(aside), True)
+
+
 def write_run_records(runs: DataFrame, path: str) -> None:
-    """Replaces the records; Spark's commit renames finished files, so readers see no half-written one."""
-    runs.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    """Replaces the records: the new ones are written beside the old, which go only when those are complete; runs may read path itself."""
+    beside = f"{path.rstrip('/')}.new-{uuid.uuid4()}"
+    runs.write.option("ignoreNullFields", False).json(beside)
+    renamed(runs.sparkSession, beside, path)
 
 
 def batch_log(spark: SparkSession, path: str) -> DataFrame:
@@ -50,6 +76,25 @@ def append_log(events: DataFrame, path: str) -> None:
     events.write.mode("append").json(path)
 
 
+def clear_log(spark: SparkSession, path: str) -> None:
+    remove(spark, path)
+
+
+def export_files(contents: DataFrame, folder: str) -> int:
+    """Writes contents (name, content: binary) as files of those names, one at a time; how many."""
+    spark, n = contents.sparkSession, 0
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for row in contents.select("name", "content").toLocalIterator():
+        out = fs.create(path(f"{folder.rstrip('/')}/{row['name']}"), True)
+        try:
+            out.write(bytearray(row["content"]))
+        finally:
+            out.close()
+        n += 1
+    return n
+
+
 def write_texts(texts: DataFrame, path: str) -> None:
     """Texts (doc_id, text), a folder for each document."""
     texts.select(F.col("doc_id"), "text").write.mode("overwrite").partitionBy("doc_id").text(path)

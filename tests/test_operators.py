@@ -1,8 +1,13 @@
+import uuid
+
+import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
-from scriptorium.operators import audio, chunking, layout, records, scoring
-from scriptorium.plans.config import parse
+from scriptorium.operators import audio, chunking, layout, models, records, scoring
+from scriptorium.plans import drivers
+from scriptorium.plans.config import Config, parse
+from scriptorium.sources import files
 
 
 def column(spark, f, *values):
@@ -75,6 +80,141 @@ def test_records(spark):
     assert [r[0] for r in good.select(records.outcome(F.col("g"), F.col("b"))).collect()] == ["Picturebook", "Clean", "Part"]
 
 
-def test_config():
-    assert parse([]).threshold == 0.15 and not parse([]).llm_clean
-    assert parse(["--rip-pdf", "x.pdf", "--no-validate"]).llm_clean
+SETTINGS = """[anything]
+input = "book.txt"
+out_dir = "out"
+max_words = 90
+sentence_gap_ms = 10
+paragraph_gap_ms = 20
+validate = true
+validate_threshold = 0.18
+crane_tts_voice = "Other"
+"""
+
+
+def test_config(tmp_path):
+    c = parse([])
+    assert (c.input, c.out_dir, c.rest_ms, c.min_chars, c.max_words, c.merge, c.to_mp3, c.sentence_gap_ms, c.paragraph_gap_ms, c.validate_threshold, c.llm_clean, c.mode) == ("text.txt", "audio_out", 500, 10, 200, True, False, 180, 360, 0.15, False, "default")
+    assert parse(["--rip-pdf", "x.pdf"]).llm_clean and parse(["--batch-pdf", "d", "--merge-only"]).mode == "batch" and parse(["--fix-quarantine", "--merge-only"]).mode == "merge-only"
+    (tmp_path / "broken.toml").write_text("[anything\n")
+    (tmp_path / "s.toml").write_text(SETTINGS)
+    c = parse(["--max-words", "7"], str(tmp_path / "none"), str(tmp_path / "broken.toml"), str(tmp_path / "s.toml"))
+    assert (c.input, c.out_dir, c.max_words, c.sentence_gap_ms, c.paragraph_gap_ms, c.validate, c.validate_threshold, c.crane_tts_voice) == ("book.txt", "out", 7, 10, 20, True, 0.18, "Other")
+    (tmp_path / "s.toml").write_text('[anything]\nmax_words = "many"\n')
+    with pytest.raises(TypeError):
+        parse([], str(tmp_path / "s.toml"))
+
+
+def test_replies_are_trimmed(spark):
+    answers = {"a": "\n", "b": " new \n", "c": "<think>x</think>\u00a0", "d": "\tDROP ", "e": "old"}
+
+    def load():
+        def answer(x):
+            if x == "f":
+                raise OSError("gone")
+            return answers[x]
+
+        return answer
+
+    rows = spark.createDataFrame([(2**53 + 1, x) for x in "abcdef"] + [(None, "a")], "doc_id long, text string").coalesce(1)
+    got = {r.text: r for r in models.rewrite(rows, load).collect()}
+    assert {t: r.cleaned for t, r in got.items()} == {"a": "a", "b": "new", "c": "c", "d": None, "e": "old", "f": "f"}
+    assert got["f"].error == "OSError: gone" and {r.doc_id for r in models.rewrite(rows, load).collect()} == {2**53 + 1, None}
+
+
+def test_ids_beside_nulls_stay_whole(spark):
+    odd = 2**53 + 1
+    docs = spark.createDataFrame([(odd, "A paragraph of words.\r\n\r\nAnother one of these."), (None, "A paragraph of words."), (3, None)], "doc_id long, text string").coalesce(1)
+    for most in (0, 200):
+        assert sorted((r.doc_id or 0, r.ordinal, r.trailing_boundary or "") for r in chunking.chunks(docs, 10, most).collect()) == [(0, 1, ""), (odd, 1, "Paragraph"), (odd, 2, "")]
+    wavs = spark.createDataFrame([(odd, audio.write_header(1, 1, 24000, 16, 2) + b"ab"), (None, b"no"), (1, None)], "id long, content binary").coalesce(1)
+    assert {(r.id, r.data_len) for r in audio.headers(wavs).collect()} == {(odd, 2), (None, None), (1, None)}
+
+
+def test_attempts_ask_once(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def count(kind):
+        (calls / f"{kind}-{uuid.uuid4()}").touch()
+
+    def speaker():
+        def say(text):
+            count("say")
+            if text.startswith("mute"):
+                raise ValueError("no voice")
+            return models.tone_speaker()(text)
+
+        return say
+
+    def reader():
+        def hear(wav):
+            count("hear")
+            text = models.tone_reader()(wav)
+            if text.startswith("deaf"):
+                raise ValueError("no ears")
+            return text if text.isascii() else ""
+
+        return hear
+
+    rows = spark.createDataFrame([(1, "the good one"), (2, "the — odd one"), (3, "mute one"), (4, "deaf to this"), (None, "the good one")], "id long, text string")
+    tries = scoring.attempted(rows, lambda d: models.speak(d, speaker), lambda d: models.transcribe(d, reader), scoring.sample_lexicon(spark))
+    got = {r.id: (r.attempts, r.status, r.error) for r in scoring.verdicts(tries).where("id IS NOT NULL").collect()}
+    assert got == {1: (1, "Ok", None), 2: (2, "Ok", None), 3: (1, "Failed", "ValueError: no voice"), 4: (2, "Quarantined", None)}
+    tries.count(), scoring.sidecars(tries).count()
+    assert (len(list(calls.glob("say-*"))), len(list(calls.glob("hear-*")))) == (7, 6)
+    report = scoring.sidecars(tries).where("report IS NOT NULL").collect()
+    assert [r.report for r in report] == ["ORIGINAL:\ndeaf to this\n\nTRANSCRIPTION:\n\n\nPHONEME_ERROR: 1.0000\nATTEMPTS: 2\n"]
+
+
+def test_letters_of_several_capitals_are_one_token(spark):
+    rows = spark.createDataFrame([(["SS", "|"], ["S", "|"]), (["SS", "T"], ["SS", "T"])], "a array<string>, b array<string>")
+    assert [r[0] for r in rows.coalesce(1).select(scoring.error_rate(F.col("a"), F.col("b"))).collect()] == [0.5, 0.0]
+
+
+def test_merged_files_are_whole(spark):
+    def wav(rate, body, tag=1):
+        return audio.write_header(tag, 1, rate, 16, len(body)) + body
+
+    rows = [(1, 2, wav(1000, b"cd"), None), (1, 1, b"RIFF\x00\x00\x00\x00WAVELIST\x03\x00\x00\x00abc\x00" + wav(1000, b"ab")[12:], "Sentence"), (2, 1, wav(1000, b"ab"), "Paragraph"), (2, 2, wav(2000, b"cd"), None), (3, 1, b"no", None), (None, 1, wav(1000, b"xy", 3), None)]
+    got = {r.doc_id: r for r in audio.merge(spark.createDataFrame(rows, "doc_id long, ordinal int, content binary, trailing_boundary string")).collect()}
+    assert bytes(got[1].content) == audio.write_header(1, 1, 1000, 16, 4 + 360) + b"ab" + bytes(360) + b"cd"
+    assert (got[2].content, got[2].error, got[3].error) == (None, "formats differ", "not a WAV file") and bytes(got[None].content) == wav(1000, b"xy", 3)
+    made = models.mapped(spark.createDataFrame([(1, bytearray(b"abc"))], "id int, content binary"), models.command(["cat"]), "content", "mp3", "binary").first()
+    assert bytes(made.mp3) == b"abc" and models.mapped(spark.createDataFrame([(1, bytearray(b"abc"))], "id int, content binary"), models.command(["false"]), "content", "mp3", "binary").first().mp3 is None
+
+
+def test_files(spark, tmp_path):
+    runs = spark.createDataFrame([("t", "a", None, None, [(1, "w", None, ("Ok", None, None))])], records.RUN)
+    path = str(tmp_path / "runs")
+    for _ in range(2):
+        files.write_run_records(runs, path)
+    back = files.run_records(spark, path)
+    files.write_run_records(back.union(back), path)  # reads what it replaces
+    assert files.run_records(spark, path).count() == 2 and [p.name for p in tmp_path.iterdir()] == ["runs"]
+    assert records.chunk_records(files.run_records(spark, path)).first().wav == "w"
+    assert files.export_files(spark.createDataFrame([("x.bin", bytearray(b"\x00\xff"))], "name string, content binary"), str(tmp_path / "out")) == 1
+    assert (tmp_path / "out" / "x.bin").read_bytes() == b"\x00\xff"
+    (tmp_path / "p.PDF").write_bytes(b"one two")
+    words = files.pdf_words(spark, str(tmp_path), lambda: lambda data: [(1, 600.0, k, w.decode(), 10.0 + k, 11.0 + k, 5.0, 6.0) for k, w in enumerate(data.split())])
+    assert [r.text for r in layout.words_to_lines(words).orderBy("line_no").collect()] == ["one two", ""]
+
+
+def test_runs_repair_and_merge(spark):
+    def deaf():
+        return lambda wav: (t := models.tone_reader()(wav))[: len(t) if t.isascii() else 0]
+
+    docs = spark.createDataFrame([("d", "A first paragraph.\n\nA second — paragraph.\n\nThe third “paragraph” é.")], "doc_id string, text string")
+    cfg = Config(validate=True, validate_threshold=-1.0)  # nothing passes
+    steps = drivers.Steps(speak=models.tone_speaker, transcribe=deaf, lexicon=scoring.sample_lexicon(spark))
+    run = drivers.default_run(docs, steps, cfg)
+    assert [r.status.status for r in run.chunks.collect()] == ["Quarantined"] * 3 and run.merged.count() == 0 and not drivers.failed(run)
+    cfg = Config(validate=True)
+    fixed, sound = drivers.fix_quarantine(run.chunks.drop("audio"), steps, cfg)
+    assert [r.status.status for r in fixed.orderBy("ordinal").collect()] == ["Ok"] * 3
+    whole, missing = drivers.merge_only(fixed, sound.where("ordinal < 3").select("input_file", "wav", F.col("audio").alias("content")), cfg)
+    assert [r.ordinal for r in missing.collect()] == [3]
+    # spoken from the sanitised text, which has no dash; the second ends a paragraph too, so a gap follows it
+    assert len(whole.first().content) == 44 + 2 * len("A first paragraph.A second paragraph.") + 2 * 2 * 24 * 360
+    runs = records.run_of(fixed, run.texts.select(F.col("doc_id").alias("input_file"), F.lit(None).cast("string").alias("pdf_ripped"), "llm_clean")).first()
+    assert [c.ordinal for c in runs.chunks] == [1, 2, 3]
