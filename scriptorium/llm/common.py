@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import string
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.operators.rows import flat_mapped
+from scriptorium.sources.scratch import Scratch, drop_all, remove, shared_folder
+
+__all__ = ["Scratch", "cut", "drop_all", "flat_mapped", "folded", "remove", "shared_folder", "table", "word_count", "words"]
+
 #: White space of a word boundary: space, tab, newline, vertical tab, form feed, carriage return.
 BREAKS = "\t\n\x0b\x0c\r"
 NOT_WORD = r"\x20\x09-\x0D"
@@ -33,39 +36,7 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text.cast("string"), F.lit(f"[^{NOT_WORD}]++")), F.lit(0)).cast("long")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a new temporary one where the session names none (tests)."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    now = sc._jsc.sc().getCheckpointDir()
-    if now.isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="scriptorium-"))
-        now = sc._jsc.sc().getCheckpointDir()
-    return now.get()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared folder: later steps neither recompute it nor lose it with an executor."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
-
-
-class Scratch:
-    """Tables written to a new folder of the shared one: small on disk where checkpoints are not, and dropped when no longer read."""
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.top, self.n = spark, f"{shared_folder(spark).rstrip('/')}/scratch-{uuid.uuid4()}", 0
-
-    def __call__(self, df: DataFrame) -> DataFrame:
-        """df computed once and kept, with its lineage cut."""
-        self.n += 1
-        path = f"{self.top}/{self.n}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self) -> None:
-        """All tables go; what was made of them must be kept elsewhere by now."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.top)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

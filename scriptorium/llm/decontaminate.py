@@ -1,9 +1,11 @@
 """Benchmark decontamination by the q-gram lemma and banded alignment.
 
-Texts are compared in lower case with runs of white space as one space, as UTF-8 bytes. An item is cut into
-pieces of `piece` bytes or so, one from each word on, so that any run of its whole words a word longer than that
-holds a piece; a document leaks an item where one piece occurs within `budget` of its length in edits. A piece of n bytes within k edits of a region shares at least n - q + 1 - k*q
-of its q-grams with it, on diagonals no more than k apart. So the q-grams that a text shares with an item are
+Texts are compared in lower case with runs of white space as one space, character by character. An item is cut into
+pieces of `piece` characters or so, one from each word on, so that any run of its whole words a word longer than that
+holds a piece; a document leaks an item where one piece occurs within `budget` of its length in edits. A piece of n
+characters within k edits of a region shares at least n - q + 1 - k*q of its q-grams with it, on diagonals no more
+than k apart. For counting a character is folded into one byte, so that a q-gram is a whole number: characters that
+fold alike can only add to a count, and alignment compares the characters themselves. So the q-grams that a text shares with an item are
 sorted in overlapping bands of diagonals 2k wide, one every k, and counted for each piece; those that reach the bound are verified by
 alignment inside the band. A band's count needs no more than the text's own matching positions.
 
@@ -16,40 +18,55 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm.common import flat_mapped
+
 Q, PIECE, BUDGET, BLOCK = 8, 96, 0.1, 5_000
 BITS = 22
 
 
-def normal(text: str | None) -> bytes:
-    return " ".join((text or "").lower().split()).encode("utf-8", "surrogatepass")
+def normal(text: str | None) -> str:
+    return " ".join((text or "").lower().split())
+
+
+def characters(text: str) -> np.ndarray:
+    """A number for each character."""
+    try:
+        return np.frombuffer(text.encode("latin-1"), np.uint8)
+    except UnicodeEncodeError:
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
-def pieces_of(item: bytes, piece: int = PIECE) -> list[bytes]:
-    """The item in pieces of words of at least `piece` bytes; a short rest joins the last, a short item is one piece."""
-    out, now = [], b""
-    for w in item.split(b" "):
-        now = now + b" " + w if now else w
+def bytes_of(text: str) -> np.ndarray:
+    """A byte for each character."""
+    c = characters(text)
+    return c if c.dtype == np.uint8 else (c ^ (c >> 8) ^ (c >> 16)).astype(np.uint8)
+
+
+def pieces_of(item: str, piece: int = PIECE) -> list[str]:
+    """The item in pieces of words of at least `piece` characters; a short rest joins the last, a short item is one piece."""
+    out, now = [], ""
+    for w in item.split(" "):
+        now = now + " " + w if now else w
         if len(now) >= piece:
             out.append(now)
-            now = b""
+            now = ""
     if now and (not out or len(now) >= piece // 2):
         out.append(now)
     elif now:
-        out[-1] += b" " + now
+        out[-1] += " " + now
     return out
 
 
-def overlapping(item: bytes, piece: int = PIECE) -> list[tuple[int, bytes]]:
-    """(start, piece): the item's pieces end to end, and then those from every other word on, at least `piece` bytes each."""
+def overlapping(item: str, piece: int = PIECE) -> list[tuple[int, str]]:
+    """(start, piece): the item's pieces end to end, and then those from every other word on, at least `piece` characters each."""
     out, at = [], 0
     for p in pieces_of(item, piece):
         out.append((at, p))
         at += len(p) + 1
-    known, ends = set(out), [k for k, c in enumerate(item) if c == 32] + [len(item)]
+    known, ends = set(out), [k for k, c in enumerate(item) if c == " "] + [len(item)]
     e = 0
     for start in [0, *[k + 1 for k in ends[:-1]]]:
         while e < len(ends) and ends[e] - start < piece:
@@ -83,7 +100,7 @@ class Index:
         self.start = np.array([a for own in cuts for a, _ in own], int)
         self.head = np.cumsum([0, *map(len, cuts)])  # the first piece of each item
         self.edits = [int(budget * len(p)) for p in self.pieces]
-        parts = [(_codes(np.frombuffer(n, np.uint8)), k) for k, (_, n) in enumerate(whole)]
+        parts = [(_codes(bytes_of(n)), k) for k, (_, n) in enumerate(whole)]
         codes = np.concatenate([c for c, _ in parts]) if parts else np.empty(0, np.uint64)
         owner = np.concatenate([np.full(len(c), k) for c, k in parts]) if parts else np.empty(0, int)
         offset = np.concatenate([np.arange(len(c)) for c, _ in parts]) if parts else np.empty(0, int)
@@ -101,10 +118,9 @@ class Index:
         self.bitmap = np.zeros(1 << BITS, bool)
         self.bitmap[_slot(codes)] = True
 
-    def search(self, text: bytes) -> list[tuple[int, int, int, int]]:
+    def search(self, text: str) -> list[tuple[int, int, int, int]]:
         """(piece, start, end, edits) of the best region for each piece that the text holds."""
-        data = np.frombuffer(text, np.uint8)
-        codes = _codes(data)
+        codes = _codes(bytes_of(text))
         at = np.flatnonzero(self.bitmap[_slot(codes)])
         found = []
         if len(at):
@@ -143,12 +159,12 @@ class Index:
                         best[k] = hit
             found = [(k, *hit) for k, hit in best.items()]
         for k, piece in enumerate(self.pieces):  # too short for a q-gram
-            if 0 < len(piece) < Q and (i := (b" " + text + b" ").find(b" " + piece + b" ")) >= 0:
+            if 0 < len(piece) < Q and (i := (" " + text + " ").find(" " + piece + " ")) >= 0:
                 found.append((k, i, i + len(piece), 0))
         return found
 
 
-def align(piece: bytes, text: bytes, low: int, high: int, edits: int) -> tuple[int, int, int] | None:
+def align(piece: str, text: str, low: int, high: int, edits: int) -> tuple[int, int, int] | None:
     """(start, end, edits) of the region of the text nearest to the piece whose diagonals lie within edits of [low, high), if within edits."""
     at = text.find(piece, max(0, low - edits), max(0, high + edits + len(piece)))
     if at >= 0 or edits == 0:
@@ -159,18 +175,18 @@ def align(piece: bytes, text: bytes, low: int, high: int, edits: int) -> tuple[i
     cells = np.arange(width)
     start = low + cells
     cost = np.where((start >= 0) & (start <= len(text)), 0, far)
-    # cell j of row i stands for text position i + low + j; bytes outside the text equal none
+    # cell j of row i stands for text position i + low + j; places outside the text equal nothing
     data = np.full(len(piece) + width, -1)
     a, b = max(0, low), min(len(text), low + len(data))
     if b > a:
-        data[a - low : b - low] = np.frombuffer(text[a:b], np.uint8)
+        data[a - low : b - low] = characters(text[a:b])
     up, up_start = np.full(width, far), np.zeros(width, start.dtype)
-    for i, c in enumerate(piece):
+    for i, c in enumerate(characters(piece).tolist()):
         diag = cost + (data[i : i + width] != c)
-        up[:-1], up_start[:-1] = cost[1:] + 1, start[1:]  # the byte is left out of the text
+        up[:-1], up_start[:-1] = cost[1:] + 1, start[1:]  # the character is left out of the text
         new_start = np.where(diag <= up, start, up_start)
         new = np.minimum(diag, up) - cells
-        # bytes put into the text: from the left, a running minimum of cost - place
+        # characters put into the text: from the left, a running minimum of cost - place
         run = np.minimum.accumulate(new)
         cost, start = np.minimum(run + cells, far), new_start[np.maximum.accumulate((new == run) * cells)]
     end = len(piece) + low + cells
@@ -183,34 +199,30 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """(id, item_id, pieces, matched, edits): each item of which a document holds pieces, of how many, and the edits in all of those.
 
     Null or empty texts and items match nothing. Null ids: kept as null. Repeated ids: each row has its results.
-    Repeated items: by item_id, each with its own pieces; null item ids are left out. Other columns are not read,
-    whatever their names. No documents or no items: no rows.
+    Repeated items: by item_id, of whatever type, each with its own pieces; null item ids are left out. Other columns
+    are not read, whatever their names. No documents or no items: no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, item_id long, pieces int, matched int, edits int"
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct()
+    items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text).cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct()
+    kind = items.schema["i"].dataType.simpleString()
     parts: list[DataFrame] = []
     held: list[tuple[int, str]] = []
 
     def add(held: list[tuple[int, str]]) -> None:
         index = spark.sparkContext.broadcast(Index(held, piece, budget))
-
-        def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            x = index.value
-            total: dict[int, int] = {}
-            for i in x.items:
-                total[i] = total.get(i, 0) + 1
-            for part in parts:
-                out = []
-                for doc, text in zip(part.id, part.text, strict=True):
-                    by: dict[int, list[int]] = {}
-                    for k, _, _, e in x.search(normal(text)):
-                        by.setdefault(x.items[k], []).append(e)
-                    out += [(doc, i, total[i], len(e), sum(e)) for i, e in by.items()]
-                yield pd.DataFrame(out, columns=["id", "item_id", "pieces", "matched", "edits"]).astype({"id": part.id.dtype})
-
-        parts.append(rows.mapInPandas(search, schema))
+        total: dict[int, int] = {}
+        for i in index.value.items:
+            total[i] = total.get(i, 0) + 1
+
+        def leaks(text: str | None) -> Iterator[tuple]:
+            by: dict[int, list[int]] = {}
+            for k, _, _, e in index.value.search(normal(text)):
+                by.setdefault(index.value.items[k], []).append(e)
+            for i, e in by.items():
+                yield i, total[i], len(e), sum(e)
+
+        parts.append(flat_mapped(rows, ["id"], ["text"], f"item_id {kind}, pieces int, matched int, edits int", lambda: leaks))
 
     for r in items.orderBy("i", "t").toLocalIterator():
         held.append((r["i"], r["t"]))

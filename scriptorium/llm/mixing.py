@@ -111,7 +111,7 @@ def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_
 
     place orders a shard's rows (its local shuffle); reruns agree. At most `limit` draws a document.
     Null source: a source of its own, last. Null or empty text: size 0, drawn with its block. Null or repeated
-    ids: rows are drawn one by one, rows that agree in all of id, source and text together. Columns of docs named
+    ids: rows are drawn one by one, rows that agree in all of id, source and size together. Columns of docs named
     size, source_size, target or draws are replaced. Sources of size 0: target 0. No rows: no rows.
     """
     named = docs.drop("size", "source_size", "target", "draws").withColumn("size", word_count(F.col(text_col)))
@@ -165,5 +165,6 @@ def written_mix(mixed: DataFrame) -> DataFrame:
 
 
 def digest(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, size, source_size, target, taken, draws) from what mix returns."""
-    return mixed.select(F.col(id_col).alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), F.size("draws").cast("long").alias("draws"))
+    """(doc_id, size, source_size, target, taken, draws, shards: the shard of each draw) from what mix returns."""
+    shards = F.array_join(F.transform("draws.shard", lambda s: s.cast("string")), ",").alias("shards")
+    return mixed.select(F.col(id_col).alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), F.size("draws").cast("long").alias("draws"), shards)

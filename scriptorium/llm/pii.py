@@ -30,8 +30,6 @@ BASE = {
 }
 #: Tokens that may be identifiers: from the start of a word, holding a digit or an at sign.
 TOKEN = rf"(?<![^{NOT_WORD}])[^{NOT_WORD}0-9@]*+[0-9@][^{NOT_WORD}]*+"
-#: Characters of context read on either side of a token for the neighbouring word.
-NEAR = 80
 
 
 def _digits(m: Column) -> Column:
@@ -75,8 +73,9 @@ def base_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
         found = F.filter(spans.located(F.col(f"__p_{kind}"), F.col(f"__m_{kind}")), lambda x: _passes(kind, x["m"]))
         return F.when(F.col(f"__may.{kind}"), found).otherwise(spans.none()).alias(kind)
 
-    words_before = lambda p: F.element_at(F.split(F.rtrim(F.translate(F.right(p, F.lit(NEAR)), "\t\n\x0b\x0c\r", "     ")), " "), -1)
-    words_after = lambda p: F.element_at(F.split(F.ltrim(F.translate(F.left(p, F.lit(NEAR)), "\t\n\x0b\x0c\r", "     ")), " "), 1)
+    blank = lambda p: F.translate(p, "\t\n\x0b\x0c\r", "     ")
+    words_before = lambda p: F.substring_index(F.rtrim(blank(p)), " ", -1)
+    words_after = lambda p: F.substring_index(F.ltrim(blank(p)), " ", 1)
 
     def with_words(piece: Column) -> Column:
         return F.transform(spans.located(piece, F.col("__m_token")), lambda x, i: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), F.lower(words_before(F.get(piece, i))).alias("before"), F.lower(words_after(F.get(piece, i + 1))).alias("after")))
@@ -112,7 +111,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    found = cut(base_spans(rows.withColumn("row", F.xxhash64("id", "text")), "text").select("id", "row", "base", "tokens"))
+    # what the contexts add follows from the text alone, so its digest names it
+    found = cut(base_spans(rows.withColumn("row", F.unhex(F.md5(F.col("text").cast("binary")))), "text").select("id", "row", "base", "tokens"))
     covered = F.concat(*[F.transform(F.col(f"base.{k}"), lambda x: F.struct("id", x["s"].alias("s"), x["e"].alias("e"))) for k in BASE])
     seen = found.where(F.size("tokens") > 0).select("row", covered.alias("covered"), F.explode("tokens").alias("t"))
     token = cut(

@@ -1,10 +1,12 @@
-"""Secret scans over a trigram index, in DataFrame functions only.
-
-From each rule's regular expression a Boolean query over trigrams is derived: a match must contain them.
-The index holds, for each document, a bit for every trigram that some query names, so that a posting list is
-the column of its bit, and lists are intersected and united by bitwise operations where the document lies,
-without a shuffle. `postings` gives the index the other way round. Documents that satisfy a rule's query are
-verified with the expression itself; a rule whose query is empty (no mandatory trigram) scans every text.
+"""Secret scans over a trigram inverted index, in DataFrame functions only.
+
+From each rule's regular expression a Boolean query over trigrams is derived: a match must contain them. The index
+holds postings (trigram, key) for the trigrams that some query names; key is a hash of the text, so that equal
+texts share their postings and no numbering of documents is needed. It is written once, a segment for each task in
+order of trigrams. A query is a union of conjunctions; a conjunction's posting lists are intersected by gathering
+them by key, where a key stays if it has met every list, so that a trigram that most texts hold is spread over all
+tasks. Candidates are verified with the expression itself on the texts of their keys, so that keys that collide
+only add candidates; a rule whose query is empty (no mandatory trigram) scans every text.
 """
 
 from __future__ import annotations
@@ -12,16 +14,16 @@ from __future__ import annotations
 import re._constants as C
 import re._parser as parser
 from dataclasses import dataclass
-from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm import spans
+from scriptorium.llm.common import Scratch
 
 MANY = 24  # exact strings kept before they turn into trigrams
-WORD_BITS = 62
+MOST = 62  # lists of a conjunction that are intersected: as many as a long has bits to spare; what more a query asks for, verification tests
 
 
 @dataclass(frozen=True)
@@ -132,37 +134,46 @@ def trigrams(rules: list[Rule]) -> list[str]:
     return sorted(set().union(*[_leaves(trigram_query(r.regex)) for r in rules]))
 
 
-def index(docs: DataFrame, text: Column, rules: list[Rule]) -> DataFrame:
-    """docs with __index: for each trigram of the rules' queries a bit, 62 to a long; texts are compared in lower case."""
-    grams = trigrams(rules)
-    low = docs.withColumn("__low", F.lower(text))
-    longs = [grams[i : i + WORD_BITS] for i in range(0, len(grams), WORD_BITS)]
-    bits = [reduce(Column.bitwiseOR, [F.when(F.contains("__low", F.lit(g)), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, g in enumerate(part)]) for part in longs]
-    return low.withColumn("__index", F.array(*bits) if bits else F.array().cast("array<bigint>")).drop("__low")
-
-
-def _holds(q: tuple | None, grams: list[str]) -> Column:
+def conjunctions(q: tuple | None) -> list[frozenset[str]]:
+    """The query as a union of conjunctions of trigrams, without those that another one implies."""
     if q is None:
-        return F.lit(True)
+        return []
     if q[0] == "tri":
-        k = grams.index(q[1])
-        return F.get("__index", F.lit(k // WORD_BITS)).bitwiseAND(F.lit(1 << k % WORD_BITS).cast("long")) != 0
-    if q[0] == "and" and all(x[0] == "tri" for x in q[1]):  # postings intersect in one operation a long
-        masks: dict[int, int] = {}
-        for x in q[1]:
-            k = grams.index(x[1])
-            masks[k // WORD_BITS] = masks.get(k // WORD_BITS, 0) | 1 << k % WORD_BITS
-        return reduce(Column.__and__, [F.get("__index", F.lit(w)).bitwiseAND(F.lit(m).cast("long")) == m for w, m in masks.items()])
-    return reduce(Column.__and__ if q[0] == "and" else Column.__or__, [_holds(x, grams) for x in q[1]])
-
-
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] = RULES) -> DataFrame:
-    """(trigram, id): the inverted index as rows, for trigrams that some rule's query names."""
-    grams = trigrams(rules)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    narrow = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    held = F.array_compact(F.array(*[F.when(_holds(("tri", g), grams), F.lit(g)) for g in grams]))
-    return index(narrow, F.col("text"), rules).select(F.explode(held).alias("trigram"), "id")
+        return [frozenset([q[1]])]
+    parts = [conjunctions(x) for x in q[1]]
+    found = {c for p in parts for c in p} if q[0] == "or" else {frozenset().union(*some) for some in product(*parts)}
+    return sorted((c for c in found if not any(d < c for d in found)), key=sorted)
+
+
+def terms(rules: list[Rule]) -> list[tuple[str, int, int, int, int]]:
+    """(trigram, rule, conjunction, the list's bit, the bits of all lists of the conjunction) of the rules' queries."""
+    out, n = [], 0
+    for k, r in enumerate(rules):
+        for c in conjunctions(trigram_query(r.regex)):
+            lists = sorted(c)[:MOST]
+            out += [(t, k, n, 1 << i, (1 << len(lists)) - 1) for i, t in enumerate(lists)]
+            n += 1
+    return out
+
+
+def _text(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+
+
+def postings(docs: DataFrame, text_col: str = "text", rules: list[Rule] = RULES) -> DataFrame:
+    """(trigram, key): the inverted index, for trigrams that some rule's query names; texts are compared in lower case."""
+    low = docs.select(F.xxhash64(_text(text_col)).alias("key"), F.lower(_text(text_col)).alias("low"))
+    held = [F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in trigrams(rules)]
+    return low.select(F.explode(F.array_compact(F.array(*held)) if held else F.array().cast("array<string>")).alias("trigram"), "key")
+
+
+def candidates(index: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
+    """(key, rules): of each key that satisfies a rule's query the rules, a bit for each."""
+    asked = index.sparkSession.createDataFrame(terms(rules), "trigram string, rule int, conjunction int, bit long, every long")
+    # a few rows for each rule: its size is that of the rules
+    met = index.join(F.broadcast(asked), "trigram").groupBy("key", "conjunction", "rule", "every").agg(F.bit_or("bit").alias("bits"))
+    bit = F.expr("shiftleft(1L, rule)")
+    return met.where("bits = every").groupBy("key").agg(F.bit_or(bit).alias("rules"))
 
 
 def find_secrets(docs: DataFrame, text_col: str = "text", rules: list[Rule] = RULES) -> DataFrame:
@@ -171,11 +182,17 @@ def find_secrets(docs: DataFrame, text_col: str = "text", rules: list[Rule] = RU
     Null text: as an empty one, no spans. Every row is judged alone, so null or repeated ids and other columns
     are passed through; a column of docs named secrets is replaced. No rows: no rows.
     """
-    grams = trigrams(rules)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    out = index(docs.withColumn("__text", text), F.col("__text"), rules)
-    may = {r.kind: _holds(trigram_query(r.regex), grams) & F.col("__text").rlike(r.regex) for r in rules}
-    out = out.withColumn("__may", F.struct(*[c.alias(k) for k, c in may.items()]))
+    cut, keep = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    index = cut(postings(docs, text_col, rules).sortWithinPartitions("trigram"))
+    found = keep(candidates(index, rules).select(F.col("key").alias("__key"), F.col("rules").alias("__rules")))
+    cut.drop()
+    out = docs.withColumn("__text", _text(text_col)).withColumn("__key", F.xxhash64("__text")).join(found, "__key", "left")
+
+    def may(k: int, r: Rule) -> Column:
+        asked = F.lit(True) if trigram_query(r.regex) is None else F.coalesce("__rules", F.lit(0)).bitwiseAND(F.lit(1 << k).cast("long")) != 0
+        return asked & F.col("__text").rlike(r.regex)
+
+    out = out.withColumn("__may", F.struct(*[may(k, r).alias(r.kind) for k, r in enumerate(rules)]))
     steps = {}
     for r in rules:
         held = F.col(f"__may.{r.kind}")
@@ -192,7 +209,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", rules: list[Rule] = RU
         if r.least:
             found = spans.long_enough(found, size, r.least)
         kept.append(F.when(F.col(f"__may.{r.kind}"), found).otherwise(spans.none()).alias(r.kind))
-    return out.withColumn("secrets", F.struct(*kept)).drop("__text", "__index", "__may", *steps)
+    return out.withColumn("secrets", F.struct(*kept)).drop("__text", "__key", "__rules", "__may", *steps)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id", rules: list[Rule] = RULES) -> DataFrame:

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,14 +145,15 @@ def fit(training: DataFrame, text_col: str = "text", label_col: str = "toxic") -
 def score(docs: DataFrame, model: tuple[dict[str, float], Trees, Isotonic], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every row; null text: as an empty one."""
 
-    def scored(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mined, trees, calibration = model
-        for part in parts:
-            x = np.array([features(t, mined) for t in part.text], dtype=float).reshape(len(part), len(NAMES))
-            yield pd.DataFrame({"id": part.id, "score": np.clip(calibration.predict(trees.margin(x)), 0, 1)})
+    mined, trees, calibration = model
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:  # by Arrow: ids keep their type beside nulls
+            x = np.array([features(t.as_py(), mined) for t in part.column(1)], dtype=float).reshape(part.num_rows, len(NAMES))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.clip(calibration.predict(trees.margin(x)), 0, 1), pa.float64())], names=["id", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(scored, f"id {rows.schema['id'].dataType.simpleString()}, score double")
+    return rows.mapInArrow(scored, f"id {rows.schema['id'].dataType.simpleString()}, score double")
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5):
@@ -162,12 +164,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """(id, held_out, score, predicted) of every row of docs; labels (id, toxic) teach, but for those held out.
 
     Null or empty text: scored as one of no words. Null ids: scored, never taught from. Repeated ids: each row has
-    its score. Several labels of an id: each a row. Other columns of docs are not read, whatever their names.
+    its score; the least text is taught from. Several labels of an id: each a row. Other columns of docs are not read, whatever their names.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col("toxic").alias("y")).where(F.col("y").isNotNull() & ~held_out("id"))
     # chosen among the narrow labels, the first by hash: the same however rows are dealt, and no text is shuffled for it;
     # the chosen are `sample` rows at most, which is the proven bound of what is broadcast
     chosen = cut(known.withColumn("o", F.xxhash64("id", "y")).orderBy("o", "id").limit(sample).select("id", "y"))
-    training = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    # a repeated id is taught from once
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.select("id").distinct()), "id", "left_semi")
+    training = texts.groupBy("id").agg(F.min("text").alias("text")).join(F.broadcast(chosen), "id")
     model = fit(training, "text", "y")
     return score(docs, model, id_col, text_col).select("id", held_out("id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

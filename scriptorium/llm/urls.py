@@ -1,25 +1,25 @@
 """URL filters: rules first, then naive Bayes over words that a Viterbi search finds in hosts and paths.
 
 Concatenated names are split into words by the best sum of unigram log probabilities. The unigram counts are of
-all words of all pages' texts and URLs; the `vocabulary` most frequent ones are the model. The naive Bayes
-classifier learns from the verdicts of the rules over all URLs that they decide: its counts are sums over all
-of those, smoothed, for the `tokens` most frequent tokens.
+all words of all pages' texts and URLs; of these the ones that stand somewhere in a name are joined to it in Spark,
+so that neither vocabulary nor tokens pass through the driver or have a bound. Words of over LONGEST letters are no
+part of the unigram model: a name is split into words of at most so many. The naive Bayes classifier learns from
+the verdicts of the rules over all URLs that they decide: its counts are sums over all of those, smoothed by one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import log
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import cut
+from scriptorium.llm.common import Scratch, flat_mapped
 
 #: Fixed values: (verdict, host, path) of the rules.
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
-VOCABULARY, TOKENS, LONGEST = 50_000, 50_000, 24
+LONGEST = 24  # letters of a word of the unigram model, at most
 
 
 def host(url: Column) -> Column:
@@ -41,68 +41,60 @@ def ruled(h: Column, p: Column, rules: list[tuple[str, str, str]] = RULES) -> tu
     return rule, verdict
 
 
-def word_counts(pages: DataFrame, url_col: str, html_col: str, keep: int = VOCABULARY) -> dict[str, int]:
-    """The most frequent words of letters of all texts and URLs, lower-cased, with their counts."""
-    text = F.lower(F.concat_ws(" ", F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), "<[^>]*+>", " "), F.coalesce(F.col(url_col), F.lit(""))))
+def word_counts(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(w, n): the words of letters of all texts and URLs, lower-cased, with their counts."""
+    text = F.lower(F.concat_ws(" ", F.regexp_replace(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "<[^>]*+>", " "), F.coalesce(F.col(url_col).cast("string"), F.lit(""))))
     each = pages.select(F.explode(F.regexp_extract_all(text, F.lit(r"(?<!\p{L})\p{L}++"), F.lit(0))).alias("w"))
-    top = each.where(F.length("w") <= LONGEST).groupBy("w").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "w").limit(keep)
-    return {r["w"]: r["n"] for r in top.collect()}
-
-
-class Segmenter:
-    """Best split of a name by unigram log probability; letters that no word covers stand alone at a price by length."""
-
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + 1
-        self.score = {w: log(n / total) for w, n in counts.items()}
-        self.unseen = log(1 / total)
-        self.longest = max(map(len, counts), default=1)
-        self.cache: dict[str, list[str]] = {}
-
-    def split(self, name: str) -> list[str]:
-        if name in self.cache:
-            return self.cache[name]
-        best, back = [0.0], [0]
-        for e in range(1, len(name) + 1):
-            # of equal scores the longest last word
-            found = max(((best[s] + self.score.get(name[s:e], self.unseen - 2 * (e - s)), -s) for s in range(max(0, e - self.longest), e)), default=(self.unseen, 1 - e))
-            best.append(found[0])
-            back.append(-found[1])
-        out, e = [], len(name)
-        while e:
-            out.append(name[back[e] : e])
-            e = back[e]
-        out.reverse()
-        if len(self.cache) < 100_000:
-            self.cache[name] = out
-        return out
-
-    def tokens(self, host: str, path: str) -> list[str]:
-        """Words of the host's labels, marked h:, and of the path's parts, marked p:; numbers by their number of digits."""
-        out = []
-        for mark, text in (("h:", host), ("p:", path.lower())):
-            word = ""
-            for c in text + ".":
-                if c.isalnum() and (not word or c.isdigit() == word[-1].isdigit()):
-                    word += c
-                    continue
-                if word:
-                    out += [mark + "9" * min(len(word), 8)] if word[0].isdigit() else [mark + w for w in self.split(word)]
-                word = c if c.isalnum() else ""
-        return out
-
-
-class Bayes:
-    """Multinomial naive Bayes with add-one smoothing over known tokens."""
-
-    def __init__(self, counts: dict[str, tuple[int, int]], block: int, allow: int):
-        size = len(counts) + 1
-        tb, ta = sum(b for b, _ in counts.values()) + size, sum(a for _, a in counts.values()) + size
-        self.prior = log((block + 1) / (allow + 1))
-        self.weight = {t: log((b + 1) / tb) - log((a + 1) / ta) for t, (b, a) in counts.items()}
-
-    def margin(self, tokens: list[str]) -> float:
-        return self.prior + sum(self.weight.get(t, 0.0) for t in tokens)
+    return each.where(F.length("w") <= LONGEST).groupBy("w").agg(F.count("*").alias("n"))
+
+
+def split(name: str, counts: dict[str, int], total: int) -> list[str]:
+    """The best split of a name by unigram log probability; letters that no word covers stand together at a price by length."""
+    unseen = log(1 / total)
+    score = {w: log(n / total) for w, n in counts.items()}
+    best, back = [0.0], [0]
+    for e in range(1, len(name) + 1):
+        # of equal scores the longest last word
+        found = max((best[s] + score.get(name[s:e], unseen - 2 * (e - s)), -s) for s in range(max(0, e - LONGEST), e))
+        best.append(found[0])
+        back.append(-found[1])
+    out, e = [], len(name)
+    while e:
+        out.append(name[back[e] : e])
+        e = back[e]
+    return out[::-1]
+
+
+def pieces(name: str) -> set[str]:
+    """What of a name may be a word."""
+    return {name[s:e] for s in range(len(name)) for e in range(s + 1, min(len(name), s + LONGEST) + 1)}
+
+
+def runs(host: str, path: str) -> Iterator[tuple[int, str, str, bool]]:
+    """(place, mark, run, whether of letters): the runs of letters and of digits of a host, marked h:, and a path, marked p:; numbers by their number of digits."""
+    at = 0
+    for mark, text in (("h:", host), ("p:", path.lower())):
+        start = 0
+        for k in range(len(text) + 1):
+            ends = k == len(text) or not text[k].isalnum() or (k > start and text[k].isdigit() != text[k - 1].isdigit())
+            if ends and k > start:
+                number = text[start].isdigit()
+                yield at, mark, "9" * min(k - start, 8) if number else text[start:k], not number
+                at += 1
+            if ends:
+                start = k if k < len(text) and text[k].isalnum() else k + 1
+
+
+def segmented(names: DataFrame, counts: DataFrame) -> DataFrame:
+    """(run, words) of distinct names (run), split by the counts (w, n)."""
+    total = (counts.agg(F.sum("n").alias("n")).first()["n"] or 0) + 1
+    may = flat_mapped(names, ["run"], ["run"], "w string", lambda: lambda run: ((x,) for x in pieces(run)))
+    known = may.join(counts, "w").groupBy("run").agg(F.collect_list("w").alias("ws"), F.collect_list("n").alias("ns"))
+
+    def best() -> Callable:
+        return lambda run, ws, ns: [(split(run, dict(zip(ws or (), ns or (), strict=True)), total),)]
+
+    return flat_mapped(names.join(known, "run", "left"), ["run"], ["run", "ws", "ns"], "words array<string>", best)
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -110,34 +102,30 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
 
     Null URLs and those without ://: empty host and path, judged by the prior. Null and repeated ids: each row has
     its verdict. Where no rule decides any URL, every other is allowed. Other columns are not read. No rows: no rows.
+    Host and path decide a verdict, so each pair of them is judged once; margins are summed in the order of words.
     """
-    segmenter = Segmenter(word_counts(pages, url_col, html_col))
+    cut, keep = Scratch(pages.sparkSession), Scratch(pages.sparkSession)
     h, p = host(F.col(url_col).cast("string")), path(F.col(url_col).cast("string"))
-    parted = pages.select(F.col(id_col).alias("id"), h.alias("host"), p.alias("path"))
-    rule, verdict = ruled(F.col("host"), F.col("path"), rules)
-    rows = parted.withColumn("rule", rule).withColumn("ruled", verdict)
-
-    def counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[str, list[int]] = {}
-        for part in parts:
-            for (a, b), v in zip(zip(part.host, part.path, strict=True), part.ruled, strict=True):
-                for t in ["", *segmenter.tokens(a, b)]:  # the empty token counts URLs
-                    total.setdefault(t, [0, 0])[v != "block"] += 1
-            if len(total) > 100_000:
-                yield pd.DataFrame([(t, *n) for t, n in total.items()], columns=["token", "b", "a"])
-                total = {}
-        yield pd.DataFrame([(t, *n) for t, n in total.items()], columns=["token", "b", "a"])
-
-    sums = cut(rows.where("ruled IS NOT NULL").select("host", "path", "ruled").mapInPandas(counted, "token string, b long, a long").groupBy("token").agg(F.sum("b").alias("b"), F.sum("a").alias("a")))
-    urls = sums.where("token = ''").first()
-    top = sums.where("token <> ''").orderBy((F.col("a") + F.col("b")).desc(), "token").limit(TOKENS).collect()
-    bayes = Bayes({r["token"]: (r["b"], r["a"]) for r in top}, urls["b"] if urls else 0, urls["a"] if urls else 0)
-
-    def judged(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            tokens = [segmenter.tokens(a, b) for a, b in zip(part.host, part.path, strict=True)]
-            margin = [bayes.margin(t) for t in tokens]
-            verdict = [r if r is not None else "block" if m > 0 else "allow" for r, m in zip(part.ruled, margin, strict=True)]
-            yield part.drop(columns="ruled").assign(verdict=verdict, words=[" ".join(t) for t in tokens], margin=margin)
-
-    return rows.mapInPandas(judged, f"id {rows.schema['id'].dataType.simpleString()}, host string, path string, rule string, verdict string, words string, margin double")
+    rows = pages.select(F.col(id_col).alias("id"), h.alias("host"), p.alias("path"))
+    urls = cut(rows.groupBy("host", "path").agg(F.count("*").alias("urls")))
+    rule, ruled_as = ruled(F.col("host"), F.col("path"), rules)
+    parts = cut(flat_mapped(urls.withColumn("ruled", ruled_as), ["host", "path", "urls", "ruled"], ["host", "path"], "at int, mark string, run string, letters boolean", lambda: runs))
+    names = cut(parts.where("letters").select("run").distinct())
+    split_as = cut(segmented(names, cut(word_counts(pages, url_col, html_col))))
+    words = F.when(F.col("letters"), F.col("words")).otherwise(F.array("run"))
+    tokens = cut(parts.join(split_as, "run", "left").select("host", "path", "urls", "ruled", "at", F.posexplode(F.transform(words, lambda w: F.concat("mark", w))).alias("k", "token")))
+
+    # the classifier: how many URLs of each verdict hold each token, repeats counted
+    by = {v: F.coalesce(F.sum(F.when(F.col("ruled") == v, F.col("urls"))), F.lit(0)) for v in ("block", "allow")}
+    prior = urls.withColumn("ruled", ruled_as).agg(by["block"].alias("b"), by["allow"].alias("a")).first()
+    counted = cut(tokens.where("ruled IS NOT NULL").groupBy("token").agg(by["block"].alias("b"), by["allow"].alias("a")))
+    sums = counted.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.coalesce(F.sum("a"), F.lit(0)).alias("a"), F.count("*").alias("n")).first()
+    tb, ta = sums["b"] + sums["n"] + 1, sums["a"] + sums["n"] + 1
+    weight = counted.select("token", (F.log((F.col("b") + 1) / tb) - F.log((F.col("a") + 1) / ta)).alias("weight"))
+    weighed = tokens.join(weight, "token", "left").groupBy("host", "path").agg(F.array_sort(F.collect_list(F.struct("at", "k", "token", F.coalesce("weight", F.lit(0.0)).alias("weight")))).alias("t"))
+    margins = keep(weighed.select(F.col("host").alias("__h"), F.col("path").alias("__p"), F.array_join("t.token", " ").alias("words"), F.aggregate("t.weight", F.lit(0.0), lambda x, w: x + w).alias("margin")))
+    cut.drop()
+    start = log((prior["b"] + 1) / (prior["a"] + 1))
+    out = rows.join(margins, (F.col("host") == F.col("__h")) & (F.col("path") == F.col("__p")), "left").withColumn("margin", F.lit(start) + F.coalesce("margin", F.lit(0.0)))
+    verdict = F.coalesce(ruled_as, F.when((F.col("margin") > 0) & F.lit(prior["b"] + prior["a"] > 0), "block").otherwise("allow"))
+    return out.select("id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), F.coalesce("words", F.lit("")).alias("words"), "margin")
