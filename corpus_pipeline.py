@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import shared_folder, table
+from scriptorium.llm.common import dropped, remove, shared_folder, table
 from scriptorium.llm.decontaminate import find_leaks
 from scriptorium.llm.minhash import near_duplicates
 from scriptorium.llm.mixing import mix
@@ -69,11 +69,15 @@ STAGES = [("toxicity", clean_speech), ("minhash", one_of_a_kind), ("decontaminat
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; what each returns is written to the shared folder and read again."""
+    """All stages in order; what each returns is written to the shared folder and read again, and goes once the next one is written."""
     docs = table(spark, sf_dir, "documents")
     top = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4()}"
+    last = None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{top}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with dropped():
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if last is not None:
+            remove(spark, last)
+        docs, last = spark.read.parquet(path), path
     return docs

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,7 +28,7 @@ def shared_folder(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to a new folder of the shared one, and dropped when no longer read."""
 
-    #: Those not yet dropped: a caller that has written what it made of them may drop all.
+    #: Those not yet dropped.
     held: list[Scratch] = []
 
     def __init__(self, spark: SparkSession) -> None:
@@ -52,7 +54,12 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def drop_all() -> None:
-    """Every table still held goes: for callers whose results no longer read any."""
-    for one in list(Scratch.held):
-        one.drop()
+@contextmanager
+def dropped(*kept: Scratch) -> Iterator[None]:
+    """Every table made inside and still held goes at the end: for callers who have written by then what they made of them."""
+    before = list(Scratch.held)
+    try:
+        yield
+    finally:
+        for one in [x for x in Scratch.held if x not in before and x not in kept]:
+            one.drop()
