@@ -331,3 +331,40 @@ def test_near_misses_make_few_candidates(spark, copies):
     assert len(rare) <= copies  # each has 70 and more of its own before any that others hold
     sets = {i: set(zip(*[t.split()[k:] for k in range(5)])) for i, t in texts.items()}
     assert max(len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in combinations(range(5), 2)) > 0.45
+
+
+def test_pipeline_end_to_end(spark, tmp_path):
+    """All stages over a small table, beside what each must do by hand."""
+    import corpus_pipeline
+
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(4, 8)))
+    item = " ".join(word() for _ in range(40))
+    texts, toxic = {}, {i for i in range(600) if i % 5 == 1}
+    for i in range(600):
+        body = [word() for _ in range(60)]
+        if i in toxic:
+            body[10:10] = ["you", "stupid", "idiot", "worthless", "scum", "loser"]
+        texts[i] = " ".join(body)
+    for i in range(0, 600, 50):
+        texts[i + 3] = texts[i + 2]  # an exact copy
+        texts[i + 4] = texts[i + 2].rsplit(" ", 2)[0] + " other end"  # a near one
+        texts[i + 7] = texts[i + 7] + " " + item
+        texts[i + 8] += " token=abcdefgh99"
+    source = {i: "abc"[i % 3] for i in texts}
+    rows = [(i, t, "en", source[i], len(t)) for i, t in texts.items()] + [(700, None, "en", None, 0), (701, "", "en", "a", 0)]
+    sf = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i in toxic)) for i in texts], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    out = {r.doc_id: r for r in corpus_pipeline.run(spark, sf).collect()}
+    gone = toxic | {i + k for i in range(0, 600, 50) for k in (3, 4, 7)}
+    kept = set(texts) - gone
+    assert set(out) <= kept | {700, 701} and len(out) > len(kept) / 3  # those without words may be drawn with their block
+    out = {i: r for i, r in out.items() if i < 700}
+    for i, r in out.items():
+        assert r.text == texts[i].replace("token=abcdefgh99", "[SECRET]") and r.n_chars == len(r.text) and len(r.draws) >= 1
+    sizes = {s: sum(len(texts[i].replace("token=abcdefgh99", "[SECRET]").split()) for i in kept if source[i] == s) for s in "abc"}
+    targets = {s: w * sum(sizes.values()) / 8 for s, w in zip("abc", (5, 2, 1), strict=True)}
+    for s in "abc":
+        assert abs(sum(r.size * len(r.draws) for r in out.values() if r.source == s) - min(targets[s], 3 * sizes[s])) <= 80
