@@ -30,11 +30,13 @@ class Steps:
 
 @dataclass(frozen=True)
 class Run:
-    """texts (doc_id, text, llm_clean); chunks: chunk records of (input_file, ordinal), with text and audio; merged (doc_id, content, error)."""
+    """texts (doc_id, text, llm_clean); chunks: chunk records of (input_file, ordinal), with text and audio; merged (doc_id, content, error);
+    attempts: of validated runs, with id (doc_id, ordinal)."""
 
     texts: DataFrame
     chunks: DataFrame
     merged: DataFrame
+    attempts: DataFrame | None = None
 
 
 def _status(name: str, text: object = None, reason: object = None):
@@ -56,15 +58,15 @@ def prepared(docs: DataFrame, steps: Steps, cfg: Config) -> DataFrame:
     return docs.select("doc_id").join(done, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), record.cast(CLEANED).alias("llm_clean"))
 
 
-def spoken(chunks: DataFrame, steps: Steps, cfg: Config) -> DataFrame:
-    """(id, audio, status) of chunks (id, text), validated where the settings ask for it."""
+def spoken(chunks: DataFrame, steps: Steps, cfg: Config) -> tuple[DataFrame, DataFrame | None]:
+    """(id, audio, status) of chunks (id, text), validated where the settings ask for it; and then the attempts."""
     if cfg.validate:
         tries = scoring.attempted(chunks, lambda d: models.speak(d, steps.speak), lambda d: models.transcribe(d, steps.transcribe), steps.lexicon, cfg.validate_threshold)
         out = scoring.verdicts(tries)
         status = F.when(F.col("status") == "Ok", _status("Ok")).when(F.col("status") == "Failed", _status("Failed", reason=F.col("error"))).otherwise(_status("Quarantined", F.col("original")))
-        return out.select("id", F.when(F.col("status") == "Ok", F.col("wav")).alias("audio"), status.alias("status"))
+        return out.select("id", F.when(F.col("status") == "Ok", F.col("wav")).alias("audio"), status.alias("status")), tries
     said = models.speak(chunks.select("id", terminated(F.col("text")).alias("text")), steps.speak)
-    return said.select("id", F.col("wav").alias("audio"), F.when(F.col("wav").isNotNull(), _status("Ok")).otherwise(_status("Failed", reason=F.col("error"))).alias("status"))
+    return said.select("id", F.col("wav").alias("audio"), F.when(F.col("wav").isNotNull(), _status("Ok")).otherwise(_status("Failed", reason=F.col("error"))).alias("status")), None
 
 
 def merged(chunks: DataFrame, cfg: Config) -> DataFrame:
@@ -86,11 +88,12 @@ def default_run(docs: DataFrame, steps: Steps, cfg: Config) -> Run:
     keep = Scratch(docs.sparkSession)
     texts = keep(prepared(docs, steps, cfg))
     made = keep(chunking.chunks(texts, cfg.min_chars, cfg.max_words))
-    said = keep(spoken(made.select(F.struct("doc_id", "ordinal").alias("id"), "text"), steps, cfg).select("id.*", "audio", "status"))
+    out, tries = spoken(made.select(F.struct("doc_id", "ordinal").alias("id"), "text"), steps, cfg)
+    said = keep(out.select("id.*", "audio", "status"))
     wav = artifact(F.col("ordinal"))
     chunks = made.join(said, ["doc_id", "ordinal"]).select(F.col("doc_id").alias("input_file"), "ordinal", wav.alias("wav"), "trailing_boundary", "status", "text", "audio")
     nothing = chunks.limit(0).select(F.col("input_file").alias("doc_id"), F.col("audio").alias("content"), F.lit(None).cast("string").alias("error"))
-    return Run(texts, chunks, merged(chunks, cfg) if cfg.merge else nothing)
+    return Run(texts, chunks, merged(chunks, cfg) if cfg.merge else nothing, tries)
 
 
 def failed(run: Run) -> bool:
@@ -114,7 +117,8 @@ def fix_quarantine(chunks: DataFrame, steps: Steps, cfg: Config) -> tuple[DataFr
     keep = Scratch(chunks.sparkSession)
     again = records.to_retry(chunks).where("text IS NOT NULL")
     text = F.when(sanitize_changed(F.col("text")), sanitized(F.col("text"))).otherwise(F.col("text"))
-    said = keep(spoken(again.select(F.struct("input_file", "ordinal").alias("id"), text.alias("text")), steps, cfg).where("status.status = 'Ok'").select("id.*", "audio"))
+    out, _ = spoken(again.select(F.struct("input_file", "ordinal").alias("id"), text.alias("text")), steps, cfg)
+    said = keep(out.where("status.status = 'Ok'").select("id.*", "audio"))
     return records.repaired(chunks, said), said.withColumn("wav", artifact(F.col("ordinal")))
 
 

@@ -95,9 +95,10 @@ def export_files(contents: DataFrame, folder: str) -> int:
     return n
 
 
-def write_texts(texts: DataFrame, path: str) -> None:
-    """Texts (doc_id, text), a folder for each document."""
-    texts.select(F.col("doc_id"), "text").write.mode("overwrite").partitionBy("doc_id").text(path)
+def write_cleaned(texts: DataFrame, folder: str) -> int:
+    """Texts (doc_id: a path, text) as <stem>_cleaned.txt in a folder; how many."""
+    name = F.concat(stem(F.col("doc_id").cast("string")), F.lit("_cleaned.txt"))
+    return export_files(texts.select(name.alias("name"), F.col("text").cast("binary").alias("content")), folder)
 
 
 def lexicon_lines(spark: SparkSession, path: str) -> DataFrame:
