@@ -100,6 +100,7 @@ class Index:
         self.start = np.array([a for own in cuts for a, _ in own], int)
         self.head = np.cumsum([0, *map(len, cuts)])  # the first piece of each item
         self.edits = [int(budget * len(p)) for p in self.pieces]
+        self.short = [k for k, p in enumerate(self.pieces) if 0 < len(p) < Q]  # too short for a q-gram
         parts = [(_codes(bytes_of(n)), k) for k, (_, n) in enumerate(whole)]
         codes = np.concatenate([c for c, _ in parts]) if parts else np.empty(0, np.uint64)
         owner = np.concatenate([np.full(len(c), k) for c, k in parts]) if parts else np.empty(0, int)
@@ -158,9 +159,9 @@ class Index:
                     if hit is not None and (k not in best or hit[2] < best[k][2]):
                         best[k] = hit
             found = [(k, *hit) for k, hit in best.items()]
-        for k, piece in enumerate(self.pieces):  # too short for a q-gram
-            if 0 < len(piece) < Q and (i := (" " + text + " ").find(" " + piece + " ")) >= 0:
-                found.append((k, i, i + len(piece), 0))
+        for k in self.short:
+            if (i := (" " + text + " ").find(" " + self.pieces[k] + " ")) >= 0:
+                found.append((k, i, i + len(self.pieces[k]), 0))
         return found
 
 
