@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,7 +22,9 @@ def shared_folder(spark: SparkSession) -> str:
     if now.isEmpty():
         if not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="scriptorium-"))
+        folder = tempfile.mkdtemp(prefix="scriptorium-")
+        atexit.register(shutil.rmtree, folder, True)
+        sc.setCheckpointDir(folder)
         now = sc._jsc.sc().getCheckpointDir()
     return now.get()
 
