@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import Scratch
+from scriptorium.llm.common import Scratch, first_by_hash
 
 DIMS, LEAF, CONFIDENCE, CELL, SAMPLE, VISITS, SEED = 12, 128, 0.9, 8_192, 65_536, 16_384, 7
 WAVES = (1, 4, 16)  # ranks at which the waves of leaves end
@@ -195,7 +195,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
     # equal vectors are one point: of any number of ids that share it, k + 1 can be of use; these are picked before the shuffle too
     twin = F.dense_rank().over(Window.partitionBy("v").orderBy("id"))
     points = cut(rows.select("id", "v").withColumn("r", twin).where(F.col("r") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids")))
-    some = points.select("v").orderBy(F.xxhash64("v")).limit(sample).toPandas().v  # of rows, all of which are indexed
+    some = first_by_hash(points.select("v"), sample, "v").toPandas().v  # of rows, all of which are indexed
     count = points.count()
 
     by_length: dict[int, list[np.ndarray]] = {}

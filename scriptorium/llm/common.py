@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from math import sqrt
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from scriptorium.operators.rows import flat_mapped
 from scriptorium.sources.scratch import Scratch, dropped, remove, shared_folder
 
-__all__ = ["Scratch", "cut", "dropped", "flat_mapped", "folded", "remove", "shared_folder", "table", "word_count", "words"]
+__all__ = ["Scratch", "cut", "dropped", "first_by_hash", "flat_mapped", "folded", "remove", "shared_folder", "table", "word_count", "words"]
 
 #: White space of a word boundary: space, tab, newline, vertical tab, form feed, carriage return.
 BREAKS = "\t\n\x0b\x0c\r"
@@ -40,3 +41,16 @@ def cut(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared folder: later steps neither recompute it nor lose it with an executor."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def first_by_hash(rows: DataFrame, n: int, *cols: str) -> DataFrame:
+    """Of distinct rows the n that come first by a hash of the columns, all if there are fewer: the same however rows are dealt.
+
+    Rows that can't be among them, by their count and six standard deviations, are left out first, so that not every
+    task sends n rows to the one that picks.
+    """
+    count = rows.count()
+    u = F.shiftrightunsigned(F.xxhash64(*cols), 32)
+    if count > n:
+        rows = rows.where(u < int((n + 6 * sqrt(n) + 20) / count * 2**32))
+    return rows.orderBy(u, *cols).limit(n)

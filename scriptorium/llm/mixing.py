@@ -6,7 +6,8 @@ by document; that gives the source's exact quota of block draws. A binary tree s
 shards: at a node the left half's quota of each source is drawn from the hypergeometric distribution given
 what the earlier sources left, so that the counts of a shard are distributed as if all draws were shuffled.
 A shard draws the next blocks of each source's permutation, so draws are disjoint, and shuffles locally.
-The tree sees numbers of blocks only; its size depends on sources and shards, not on documents.
+The tree sees numbers of blocks only; its size depends on sources and shards, not on documents. Sources are split
+in groups first, so that very many of them make no long array.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from scriptorium.llm.spans import let
 #: Weights of the sources in order of name, repeating.
 WEIGHTS = (5, 2, 1)
 BLOCKS, SHARDS, LIMIT = 4096, 16, 3
+WIDTH = 1024  # sources of a group
 SIGMAS = 9
 
 
@@ -80,30 +82,46 @@ def _uniform(*cols: Column) -> Column:
     return (F.xxhash64(*cols).bitwiseAND((1 << 52) - 1).cast("double") + 0.5) / float(1 << 52)
 
 
-def split_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
-    """(shard, k, n) from (k, quota): how many of each source's draws go to each shard; zero counts are left out.
+def _split(node: DataFrame, shards: int, seed: int) -> DataFrame:
+    """(g, shard, k, n), with zeros: of each row (g, q, sizes) the counts n of its elements q (k, n) split among shards of the given sizes.
 
-    Shards differ by one draw at most. Sources, in order of k, are the elements of one array in each node.
+    At a node of m shards the first m // 2 take as many draws as they have room for, and from each element in turn what
+    the hypergeometric distribution gives it, given what the elements before left.
     """
-    depth = max(0, ceil(log2(shards)))
-    node = quotas.agg(F.array_sort(F.collect_list(F.struct("k", F.col("quota").alias("n")))).alias("q")).select(F.lit(0).alias("first"), F.lit(shards).alias("m"), "q")
-    total = F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    node = node.select("g", F.lit(0).alias("first"), F.lit(shards).alias("m"), "q", "sizes")
+    long = F.lit(0).cast("long")
+    half = F.floor(F.col("m") / 2).cast("int")
 
     def halve(x: Column, acc: Column) -> Column:
-        drawn = hypergeometric(x["n"], acc["total"], acc["room"], _uniform(F.lit(seed), F.col("first"), F.col("m"), x["k"]))
+        drawn = hypergeometric(x["n"], acc["total"], acc["room"], _uniform(F.lit(seed), F.col("g"), F.col("first"), F.col("m"), x["k"]))
         return let(drawn, lambda d: F.struct((acc["total"] - x["n"]).alias("total"), (acc["room"] - d).alias("room"), F.concat(acc["q"], F.array(F.struct(x["k"].alias("k"), d.alias("n")))).alias("q")))
 
-    for _ in range(depth):
-        # the left part of a node of m shards has m // 2 of them, and as many of the draws as go with that
-        half = F.floor(F.col("m") / 2).cast("int")
-        room = F.floor(F.col("total") / F.col("m")) * half + F.least(F.col("total") % F.col("m"), half)
-        start = F.struct(F.col("total").alias("total"), F.col("room").alias("room"), F.slice("q", 1, 0).alias("q"))
+    for _ in range(max(0, ceil(log2(shards)))):
+        start = F.struct(F.aggregate("q", long, lambda a, x: a + x["n"]).alias("total"), F.aggregate(F.slice("sizes", F.lit(1), half), long, lambda a, x: a + x).alias("room"), F.slice("q", 1, 0).alias("q"))
         left = F.when(F.col("m") > 1, F.aggregate("q", start, lambda acc, x: halve(x, acc), lambda acc: acc["q"])).otherwise(F.col("q"))
-        split = cut(node.withColumn("total", total).withColumn("room", room).withColumn("left", left))
+        split = cut(node.withColumn("left", left))
         right = F.zip_with("q", "left", lambda a, b: F.struct(a["k"].alias("k"), (a["n"] - b["n"]).alias("n")))
-        kids = F.when(F.col("m") > 1, F.array(F.struct(F.col("first").alias("first"), half.alias("m"), F.col("left").alias("q")), F.struct((F.col("first") + half).alias("first"), (F.col("m") - half).alias("m"), right.alias("q")))).otherwise(F.array(F.struct("first", "m", "q")))
-        node = split.select(F.explode(kids).alias("z")).select("z.*")
-    return node.select(F.col("first").alias("shard"), F.explode("q").alias("x")).select("shard", "x.k", "x.n").where("n > 0")
+        low = F.struct(F.col("first").alias("first"), half.alias("m"), F.col("left").alias("q"), F.slice("sizes", F.lit(1), half).alias("sizes"))
+        high = F.struct((F.col("first") + half).alias("first"), (F.col("m") - half).alias("m"), right.alias("q"), F.slice("sizes", half + 1, F.col("m") - half).alias("sizes"))
+        kids = F.when(F.col("m") > 1, F.array(low, high)).otherwise(F.array(F.struct("first", "m", "q", "sizes")))
+        node = split.select("g", F.explode(kids).alias("z")).select("g", "z.*")
+    return node.select("g", F.col("first").alias("shard"), F.explode("q").alias("x")).select("g", "shard", "x.k", "x.n")
+
+
+def split_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = 0, width: int = WIDTH) -> DataFrame:
+    """(shard, k, n) from (k, quota): how many of each source's draws go to each shard; zero counts are left out.
+
+    Shards differ by one draw at most. The sources are split in two steps, groups of `width` of them first and then each
+    group by itself, so that no array holds more than `width` sources or one entry for each group.
+    """
+    grouped = cut(quotas.select((F.col("k") / width).cast("long").alias("g"), F.col("k").cast("long").alias("k"), F.col("quota").cast("long").alias("n")))
+    pairs = lambda k: F.array_sort(F.collect_list(F.struct(F.col(k).alias("k"), "n")))
+    sums = grouped.groupBy("g").agg(F.sum("n").alias("n"))
+    even = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.floor(F.col("t") / shards) + F.when(s < F.col("t") % shards, 1).otherwise(0))
+    top = sums.agg(F.sum("n").alias("t"), pairs("g").alias("q")).where("t IS NOT NULL").select(F.lit(-1).cast("long").alias("g"), "q", even.alias("sizes"))
+    rooms = _split(top, shards, seed).groupBy(F.col("k").alias("g")).agg(F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("s")).select("g", F.col("s.n").alias("sizes"))
+    own = grouped.groupBy("g").agg(pairs("k").alias("q")).join(cut(rooms), "g")
+    return _split(own, shards, seed).select("shard", "k", "n").where("n > 0")
 
 
 def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT, blocks: int = BLOCKS, shards: int = SHARDS, seed: int = 0, share: float = 1.0) -> DataFrame:
@@ -158,10 +176,13 @@ def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_
     return joined.withColumn("draws", draws).drop("__u", "__block", "ps", "pb", "full", "whole", "part", "last", "shards")
 
 
-def written_mix(mixed: DataFrame) -> DataFrame:
-    """The mix itself: a row for each draw, dealt to its shard and shuffled there."""
+def written_mix(mixed: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """The mix itself: a row for each draw, dealt to its shard and shuffled there; a shard lies in parts of about `rows` draws."""
     each = mixed.withColumn("draw", F.explode("draws")).select("*", "draw.shard", "draw.place").drop("draws", "draw")
-    return each.repartition("shard", F.pmod("place", F.lit(8))).sortWithinPartitions("shard", "place")
+    count = mixed.agg(F.sum(F.size("draws")).alias("n"), F.max(F.array_max("draws.shard")).alias("s")).first()
+    parts = max(1, ceil((count["n"] or 0) / rows / ((count["s"] or 0) + 1)))
+    part = F.pmod("place", F.lit(parts))
+    return each.repartition(parts * ((count["s"] or 0) + 1), "shard", part).sortWithinPartitions("shard", part, "place")
 
 
 def digest(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.boosting import Isotonic, Trees
-from scriptorium.llm.common import cut
+from scriptorium.llm.common import cut, first_by_hash
 
 SAMPLE = 20_000  # labelled rows fitted on, at most
 FOLDS = 3
@@ -164,12 +164,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """(id, held_out, score, predicted) of every row of docs; labels (id, toxic) teach, but for those held out.
 
     Null or empty text: scored as one of no words. Null ids: scored, never taught from. Repeated ids: each row has
-    its score; the least text is taught from. Several labels of an id: each a row. Other columns of docs are not read, whatever their names.
+    its score; the least text is taught from. Several labels of an id: each a row, repeated ones once. Other columns of docs are not read, whatever their names.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col("toxic").alias("y")).where(F.col("y").isNotNull() & ~held_out("id"))
     # chosen among the narrow labels, the first by hash: the same however rows are dealt, and no text is shuffled for it;
     # the chosen are `sample` rows at most, which is the proven bound of what is broadcast
-    chosen = cut(known.withColumn("o", F.xxhash64("id", "y")).orderBy("o", "id").limit(sample).select("id", "y"))
+    chosen = cut(first_by_hash(known.distinct(), sample, "id", "y"))
     # a repeated id is taught from once
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.select("id").distinct()), "id", "left_semi")
     training = texts.groupBy("id").agg(F.min("text").alias("text")).join(F.broadcast(chosen), "id")

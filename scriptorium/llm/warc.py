@@ -26,7 +26,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import Scratch, flat_mapped, shared_folder
+from scriptorium.llm.common import Scratch, flat_mapped
 
 #: Fields of the header lines of the two versions.
 FIELDS = {
@@ -206,7 +206,7 @@ def archive(pages: DataFrame, least: int = 0) -> DataFrame:
     No rows: no rows. Other columns of pages are not read, whatever their names.
     """
     spark = pages.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/warc-{uuid.uuid4()}"
+    path = f"{Scratch(spark).top}/warc"
     convert(pages, path, least=least)
     back = read(spark, path, payloads=False)
     return back.where(F.coalesce("sound", F.lit(True))).select(F.col("key").cast("long").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.col("refers").cast("long").alias("refers_to"))

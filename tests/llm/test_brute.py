@@ -368,3 +368,49 @@ def test_pipeline_end_to_end(spark, tmp_path):
     targets = {s: w * sum(sizes.values()) / 8 for s, w in zip("abc", (5, 2, 1), strict=True)}
     for s in "abc":
         assert abs(sum(r.size * len(r.draws) for r in out.values() if r.source == s) - min(targets[s], 3 * sizes[s])) <= 80
+
+
+def test_first_by_hash_is_the_same_however_rows_are_dealt(spark):
+    from scriptorium.llm.common import first_by_hash
+
+    rows = spark.range(5000).withColumn("v", F.col("id") % 7)
+    got = [sorted(r.id for r in first_by_hash(rows.repartition(k), 100, "id", "v").collect()) for k in (1, 9)]
+    order = [r.id for r in rows.orderBy(F.shiftrightunsigned(F.xxhash64("id", "v"), 32), "id", "v").limit(100).collect()]
+    assert got[0] == got[1] == sorted(order) and first_by_hash(rows, 6000, "id").count() == 5000 and first_by_hash(rows.limit(0), 5, "id").count() == 0
+
+
+def test_repeated_rows_and_partitions_change_nothing(spark):
+    """Each row of a table that stands twice, dealt otherwise, has the result that it has alone."""
+    from collections import Counter
+
+    from scriptorium.llm import minhash
+    from scriptorium.llm.queries import VOCABULARY
+
+    texts = random_texts(150, 17)
+    item = " ".join(f"word{k}" for k in range(30))
+    texts |= {200 + k: f"before {item} after {k}" for k in range(3)} | {300: None, 301: "", 302: item * 50}
+    docs = table(spark, texts)
+    twice = docs.unionAll(docs).repartition(7)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in texts], "doc_id long, toxic int")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for f in (
+        lambda d: secrets.digest(secrets.find_secrets(d)),
+        lambda d: pii.digest(pii.find_pii(d)),
+        lambda d: decontaminate.find_leaks(d, bench),
+        lambda d: tokens.count_tokens(d, VOCABULARY),
+        lambda d: toxicity.toxicity(d, labels),
+    ):
+        assert Counter(map(str, f(twice).collect())) == Counter(2 * list(map(str, f(docs).collect())))
+    near = lambda d: sorted(map(str, minhash.near_duplicates(d).collect()))
+    assert near(twice) == near(docs)
+
+
+def test_mixing_holds_a_very_long_document(spark):
+    rows = [(i, "w " * (50_000 if i == 5 else 20), "a" if i % 2 else None) for i in range(200)]
+    mixed = mixing.digest(mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()
+    by = {}
+    for r in mixed:
+        assert r.taken <= 3 * r.size and r.taken == r.size * r.draws
+        by.setdefault(r.target, []).append(r.taken)
+    long = next(r.target for r in mixed if r.doc_id == 5)
+    assert all(abs(sum(v) - t) <= (50_000 if t == long else 20) for t, v in by.items())

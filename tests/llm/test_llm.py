@@ -97,6 +97,10 @@ def test_splitting_tree_keeps_quotas(spark):
     got = mixing.split_quotas(quotas, 5).collect()
     assert {k: sum(r.n for r in got if r.k == k) for k in range(3)} == {0: 1000, 1: 300, 2: 7}
     assert {sum(r.n for r in got if r.shard == s) for s in range(5)} <= {261, 262}
+    many = spark.createDataFrame([(k, 3 * k % 17) for k in range(60)], "k int, quota long")
+    got = mixing.split_quotas(many, 5, width=7).collect()  # in groups
+    assert all(sum(r.n for r in got if r.k == k) == 3 * k % 17 for k in range(60)) and max(counts := [sum(r.n for r in got if r.shard == s) for s in range(5)]) - min(counts) <= 1
+    assert mixing.split_quotas(many.limit(0), 5).count() == 0
     one = spark.createDataFrame([(5, 10, 3)], "g long, t long, d long")
     draws = [one.select(mixing.hypergeometric(F.col("g"), F.col("t"), F.col("d"), F.lit(u))).first()[0] for u in (0.01, 0.3, 0.99)]
     assert draws == [0, 1, 3]
