@@ -77,12 +77,23 @@ def resolve(cli: dict, file: dict) -> Config:
     return Config(**got)
 
 
+def _truth(x: str) -> bool:
+    if x not in ("true", "false"):
+        raise argparse.ArgumentTypeError(f"{x!r} is neither true nor false")
+    return x == "true"
+
+
 def parse(argv: list[str], *files: str) -> Config:
-    """Settings of a command line and of the first of the files that parses."""
+    """Settings of a command line and of the first of the files that parses. A mode is a bare flag, other truth values are written out."""
     p = argparse.ArgumentParser(prog="scriptorium")
     for f in fields(Config):
         if f.name in FILE_ONLY:
             continue
-        kind = {"bool": None}.get(f.type, int if f.type == "int" else str)
-        p.add_argument(f"--{f.name.replace('_', '-')}", default=None, **({"action": argparse.BooleanOptionalAction} if kind is None else {"type": kind}))
+        names = [f"--{f.name.replace('_', '-')}", *({"input": ["-i"], "out_dir": ["-o"]}.get(f.name, []))]
+        if f.name == "batch_pdf":
+            p.add_argument(*names, nargs="?", const="batch")
+        elif f.name in CLI_ONLY:
+            p.add_argument(*names, action="store_true", default=None)
+        else:
+            p.add_argument(*names, type={"int": int, "bool": _truth}.get(f.type, str))
     return resolve(vars(p.parse_args(argv)), load_config(*files))

@@ -96,6 +96,10 @@ def test_config(tmp_path):
     c = parse([])
     assert (c.input, c.out_dir, c.rest_ms, c.min_chars, c.max_words, c.merge, c.to_mp3, c.sentence_gap_ms, c.paragraph_gap_ms, c.validate_threshold, c.llm_clean, c.mode) == ("text.txt", "audio_out", 500, 10, 200, True, False, 180, 360, 0.15, False, "default")
     assert parse(["--rip-pdf", "x.pdf"]).llm_clean and parse(["--batch-pdf", "d", "--merge-only"]).mode == "batch" and parse(["--fix-quarantine", "--merge-only"]).mode == "merge-only"
+    c = parse(["-i", "a", "-o", "b", "--merge", "false", "--to-mp3", "true", "--skip-refs", "false", "--batch-pdf"])
+    assert (c.input, c.out_dir, c.merge, c.to_mp3, c.skip_refs, c.batch_pdf) == ("a", "b", False, True, False, "batch")
+    with pytest.raises(SystemExit):
+        parse(["--merge", "maybe"])
     (tmp_path / "broken.toml").write_text("[anything\n")
     (tmp_path / "s.toml").write_text(SETTINGS)
     c = parse(["--max-words", "7"], str(tmp_path / "none"), str(tmp_path / "broken.toml"), str(tmp_path / "s.toml"))
@@ -218,3 +222,17 @@ def test_runs_repair_and_merge(spark):
     assert len(whole.first().content) == 44 + 2 * len("A first paragraph.A second paragraph.") + 2 * 2 * 24 * 360
     runs = records.run_of(fixed, run.texts.select(F.col("doc_id").alias("input_file"), F.lit(None).cast("string").alias("pdf_ripped"), "llm_clean")).first()
     assert [c.ordinal for c in runs.chunks] == [1, 2, 3]
+
+
+def test_lengths_saturate(spark):
+    plan = spark.createDataFrame([(1, 3_000_000_000, 0), (1, 2_000_000_000, 0), (2, 40, 8)], "doc_id int, data_len long, gap_len long").selectExpr("*", "24000 AS sample_rate", "1 AS channels", "16 AS bits_per_sample")
+    assert {r.doc_id: (r.data_len, r.seconds) for r in audio.merged_length(plan).collect()} == {1: (4294967295, 4294967295 / 48000), 2: (48, 0.001)}
+    rows = spark.createDataFrame([(tag, c, rate, bits, n) for tag, c, rate, bits in ((1, 2, 44100, 16), (3, 1, 8000, 32)) for n in (0, 7, 4294967290, 4294967295, 10**10)], "t int, c int, r long, b int, n long").coalesce(1)
+    made = rows.select("*", audio.header_bytes(*map(F.col, "tcrbn")).alias("h")).collect()
+    assert all(bytes(r.h) == audio.write_header(r.t, r.c, r.r, r.b, r.n) for r in made)
+
+
+def test_every_glyph_by_hand(spark):
+    want = {"[endash]": "-", "[emdash]": "—", "[quotedblleft]": "“", "[quotedblright]": "”", "[quoteleft]": "'", "[quoteright]": "'", "[fi]": "fi", "[fl]": "fl", "[ff]": "ff", "[ffi]": "ffi", "[ffl]": "ffl", "[ft]": "ft", "[st]": "st", "[bracketleft]": "[", "[bracketright]": "]", "[parenleft]": "(", "[parenright]": ")"}
+    assert column(spark, T.glyphs_scrubbed, *[f"a{g}b" for g in want]) == [f"a{x}b" for x in want.values()]
+    assert column(spark, T.glyphs_scrubbed, *[f"a[{g}]b" for g in ("bullet", "dagger", "daggerdbl", "section", "paragraph")]) == ["ab"] * 5
