@@ -62,21 +62,42 @@ def terms(text: str) -> set[str]:
     return own | {t[:k] + "*" for t in own for k in STEMS if len(t) > k}
 
 
-def features(text: str | None, mined: dict[str, float]) -> list[float]:
+class Mined:
+    """A mined lexicon, laid out for lookups: words, beginnings, and what all beginnings begin with."""
+
+    def __init__(self, weights: dict[str, float]):
+        self.words = {t: w for t, w in weights.items() if not t.endswith("*")}
+        self.stems = {t[:-1]: w for t, w in weights.items() if t.endswith("*")}
+        self.heads = {t[: STEMS[0]] for t in self.stems}
+
+    def word(self, t: str) -> tuple[float | None, bool]:
+        """Of a word, as written or with its digits and symbols read as letters: its weight, if it is mined, and whether the general lexicon holds it."""
+        if t not in self.words and t not in LEXICON and not t.isalpha():
+            t = t.translate(_LEET)
+        return self.words.get(t), t in LEXICON
+
+    def beginning(self, t: str) -> float:
+        """The greatest weight of a beginning of the word."""
+        return max((self.stems.get(t[:k], 0.0) for k in STEMS if len(t) > k), default=0.0) if t[: STEMS[0]] in self.heads else 0.0
+
+
+def features(text: str | None, mined: Mined) -> list[float]:
+    """The numbers of NAMES."""
     text = text or ""
     found = tokens(text)
     n = max(1, len(found))
     distinct = set(found)
-    known = {t: (mined.get(p), p in LEXICON) for t in distinct for p in [t if t.isalpha() or t in mined or t in LEXICON else t.translate(_LEET)] if p in mined or p in LEXICON}
+    known = {}
     second = distinct & SECOND
     lexicon = hits = near = stems = 0
     weight = stem_weight = 0.0
-    if mined:
-        for t in distinct:
-            w = max((mined.get(t[:k] + "*", 0.0) for k in STEMS if len(t) > k), default=0.0)
-            if w:
-                stems += (c := found.count(t))
-                stem_weight += w * c
+    for t in distinct:
+        own = mined.word(t)
+        if own[0] is not None or own[1]:
+            known[t] = own
+        if w := mined.beginning(t):
+            stems += (c := found.count(t))
+            stem_weight += w * c
     seconds = sum(map(found.count, second))
     if known:  # most texts hold none
         hit_at = []
@@ -128,8 +149,9 @@ def fit(training: DataFrame, text_col: str = "text", label_col: str = "toxic") -
     mined = mine(counted, toxic, clean)
 
     def dense(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = Mined(mined)
         for part in parts:
-            yield pd.DataFrame({"o": part.o, "y": part.y, "f": [features(t, mined) for t in part.text]})
+            yield pd.DataFrame({"o": part.o, "y": part.y, "f": [features(t, words) for t in part.text]})
 
     got = rows.mapInPandas(dense, "o long, y int, f array<double>").toPandas().sort_values(["o", "y"])
     x = np.array(got.f.tolist(), dtype=float).reshape(len(got), len(NAMES))
@@ -148,8 +170,9 @@ def score(docs: DataFrame, model: tuple[dict[str, float], Trees, Isotonic], id_c
     mined, trees, calibration = model
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Mined(mined)
         for part in batches:  # by Arrow: ids keep their type beside nulls
-            x = np.array([features(t.as_py(), mined) for t in part.column(1)], dtype=float).reshape(part.num_rows, len(NAMES))
+            x = np.array([features(t.as_py(), words) for t in part.column(1)], dtype=float).reshape(part.num_rows, len(NAMES))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.clip(calibration.predict(trees.margin(x)), 0, 1), pa.float64())], names=["id", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -208,7 +208,7 @@ def test_shards_hold_the_draws_and_each_draw_once(spark):
 def test_features_by_hand():
     mined = {"grob": 2.0, "blod*": 1.5}
     text = "You STUPID grob!!  blodest b4d loooser x y z $ you"
-    f = dict(zip(toxicity.NAMES, toxicity.features(text, mined), strict=True))
+    f = dict(zip(toxicity.NAMES, toxicity.features(text, toxicity.Mined(mined)), strict=True))
     words = toxicity.tokens(text)
     n = len(words)
     assert words[:4] == ["you", "stupid", "grob", "blodest"]
