@@ -8,10 +8,10 @@ from math import sqrt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.operators.rows import flat_mapped
+from scriptorium.operators.rows import flat_mapped, freed, small_batches
 from scriptorium.sources.scratch import Scratch, dropped, remove, shared_folder
 
-__all__ = ["Scratch", "cut", "dropped", "first_by_hash", "flat_mapped", "folded", "remove", "shared_folder", "table", "word_count", "words"]
+__all__ = ["Scratch", "cut", "dropped", "first_by_hash", "flat_mapped", "folded", "freed", "remove", "shared_folder", "small_batches", "table", "word_count", "words"]
 
 #: White space of a word boundary: space, tab, newline, vertical tab, form feed, carriage return.
 BREAKS = "\t\n\x0b\x0c\r"

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import flat_mapped
+from scriptorium.llm.common import Scratch, flat_mapped, small_batches
 
 Q, PIECE, BUDGET, BLOCK = 8, 96, 0.1, 5_000
 BITS = 22
@@ -235,4 +235,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)
-    return out
+    with small_batches(spark):  # written once, as the size of a batch holds for what is computed here
+        return Scratch(spark)(out)

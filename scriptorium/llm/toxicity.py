@@ -15,16 +15,16 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.boosting import Isotonic, Trees
-from scriptorium.llm.common import cut, first_by_hash
+from scriptorium.llm.common import Scratch, cut, first_by_hash, freed, small_batches
 
 SAMPLE = 20_000  # labelled rows fitted on, at most
 FOLDS = 3
+TERMS = 100_000  # terms that a task counts before it hands the counts on
 STEMS = (4, 5, 6, 7)  # letters of the word beginnings that are mined beside whole words
 
 #: General words of abuse in English, German, French and Spanish.
@@ -127,33 +127,43 @@ def mine(words: DataFrame, toxic: int, clean: int, least: int = 5, z: float = 4.
     return {r["word"]: round(r["odds"], 6) for r in strong.orderBy("word").collect()}
 
 
-def fit(training: DataFrame, text_col: str = "text", label_col: str = "toxic") -> tuple[dict[str, float], Trees, Isotonic]:
-    """(mined lexicon, trees, calibration) from labelled rows, of which the caller bounds the number; null labels are left out. No rows: a constant score."""
-    labelled = training.where(F.col(label_col).isNotNull()).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), (F.col(label_col) > 0).cast("int").alias("y"))
-    rows = labelled.withColumn("o", F.xxhash64("text", "y"))
+def term_counts(batches: Iterator[pa.RecordBatch], most: int = TERMS) -> Iterator[pa.RecordBatch]:
+    """(word, t, c) of batches (text, y): in how many toxic and other texts a term stands, to be summed by term, as counts go out whenever `most` are held."""
+    t, c = Counter(), Counter()
 
-    def held(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t, c = Counter(), Counter()  # over one task's share of the sample
-        for part in parts:
-            for text, y in zip(part.text, part.y, strict=True):
-                (t if y else c).update(terms(text))
+    def out() -> Iterator[pa.RecordBatch]:
         every = list(t.keys() | c.keys())
         for i in range(0, len(every), 50_000):
             some = every[i : i + 50_000]
-            yield pd.DataFrame({"word": some, "t": [t[w] for w in some], "c": [c[w] for w in some]})
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([t[w] for w in some], pa.int64()), pa.array([c[w] for w in some], pa.int64())], names=["word", "t", "c"])
+        t.clear()
+        c.clear()
+
+    for part in batches:
+        for text, y in zip(part.column(0), part.column(1), strict=True):
+            (t if y.as_py() else c).update(terms(text.as_py()))
+            if len(t) + len(c) >= most:
+                yield from out()
+    yield from out()
+
+
+def fit(training: DataFrame, text_col: str = "text", label_col: str = "toxic") -> tuple[dict[str, float], Trees, Isotonic]:
+    """(mined lexicon, trees, calibration) from labelled rows, of which the caller bounds the number; null labels are left out. No rows: a constant score."""
+    labelled = training.where(F.col(label_col).isNotNull()).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), (F.col(label_col) > 0).cast("int").alias("y"))
+    rows = labelled.withColumn("o", F.xxhash64("text", "y"))
 
     rows = cut(rows)
     by_class = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = by_class.get(1, 0), by_class.get(0, 0)
-    counted = rows.select("text", "y").mapInPandas(held, "word string, t long, c long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    counted = rows.select("text", "y").mapInArrow(freed(term_counts), "word string, t long, c long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     mined = mine(counted, toxic, clean)
 
-    def dense(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Mined(mined)
-        for part in parts:
-            yield pd.DataFrame({"o": part.o, "y": part.y, "f": [features(t, words) for t in part.text]})
+        for part in batches:
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([features(t.as_py(), words) for t in part.column(2)], pa.list_(pa.float64()))], names=["o", "y", "f"])
 
-    got = rows.mapInPandas(dense, "o long, y int, f array<double>").toPandas().sort_values(["o", "y"])
+    got = rows.select("o", "y", "text").mapInArrow(freed(dense), "o long, y int, f array<double>").toPandas().sort_values(["o", "y"])
     x = np.array(got.f.tolist(), dtype=float).reshape(len(got), len(NAMES))
     y = got.y.to_numpy(float)
     margins = np.zeros(len(y))
@@ -176,7 +186,7 @@ def score(docs: DataFrame, model: tuple[dict[str, float], Trees, Isotonic], id_c
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.clip(calibration.predict(trees.margin(x)), 0, 1), pa.float64())], names=["id", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(scored, f"id {rows.schema['id'].dataType.simpleString()}, score double")
+    return rows.mapInArrow(freed(scored), f"id {rows.schema['id'].dataType.simpleString()}, score double")
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5):
@@ -196,5 +206,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     # a repeated id is taught from once
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.select("id").distinct()), "id", "left_semi")
     training = texts.groupBy("id").agg(F.min("text").alias("text")).join(F.broadcast(chosen), "id")
-    model = fit(training, "text", "y")
-    return score(docs, model, id_col, text_col).select("id", held_out("id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    with small_batches(docs.sparkSession):
+        model = fit(training, "text", "y")
+        # written once, as the size of a batch holds for what is computed here
+        scores = Scratch(docs.sparkSession)(score(docs, model, id_col, text_col))
+    return scores.select("id", held_out("id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -2,14 +2,42 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 MOST, BYTES = 10_000, 1 << 25  # rows and bytes of a batch that goes back, about
+TEXTS = 1_000  # whole texts in a batch that goes to Python
+
+
+@contextmanager
+def small_batches(spark: SparkSession, most: int = TEXTS) -> Iterator[None]:
+    """What is computed inside, not just planned, sends rows to Python in batches of `most` at most: a batch stands in the executor's and the worker's memory at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= most:
+        spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def freed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run; after its last batch the free memory of the process goes back, as a worker that waits for another task else keeps it beside those at work."""
+
+    def freeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, TypeError, AttributeError):  # of glibc only
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return freeing
 
 
 def flat_mapped(df: DataFrame, keep: list[str], use: list[str], out: str, make: Callable[[], Callable[..., Iterable[tuple]]]) -> DataFrame:
@@ -45,4 +73,4 @@ def flat_mapped(df: DataFrame, keep: list[str], use: list[str], out: str, make:
                         at, made, size = [], [], 0
             yield batch_of(at, made)
 
-    return df.select(*dict.fromkeys([*keep, *use])).mapInArrow(run, schema)
+    return df.select(*dict.fromkeys([*keep, *use])).mapInArrow(freed(run), schema)

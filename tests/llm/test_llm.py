@@ -284,6 +284,35 @@ def test_every_term_over_the_bound_is_mined(spark):
     assert mined.keys() == set(many)
 
 
+def test_a_worker_holds_little_at_once(spark):
+    import subprocess
+    import sys
+
+    import pyarrow as pa
+
+    from scriptorium.operators.rows import freed, small_batches
+
+    loaded = "import sys, scriptorium.llm.toxicity, scriptorium.llm.decontaminate; print('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", loaded], capture_output=True, text=True, check=True).stdout.split()[-1] == "False"
+
+    texts = [(f"wa{chr(97 + k % 26)} wb{chr(97 + k // 26)} common", int(k % 3 == 0)) for k in range(200)]
+    part = pa.RecordBatch.from_arrays([pa.array([t for t, _ in texts]), pa.array([y for _, y in texts])], names=["text", "y"])
+    whole, parts = ([b.to_pylist() for b in toxicity.term_counts(iter([part]), most)] for most in (10**6, 10))
+    assert len(whole) == 1 and len(parts) > 10 and max(map(len, parts)) < 20
+    summed = [{w: tuple(sum(r[k] for b in found for r in b if r["word"] == w) for k in "tc") for w in {r["word"] for b in found for r in b}} for found in (whole, parts)]
+    assert summed[0] == summed[1] and summed[0]["common"] == (67, 133)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with small_batches(spark):
+        got = [r.n for r in spark.range(2_500, numPartitions=1).mapInArrow(freed(sizes), "n long").collect()]
+    assert got == [1_000, 1_000, 500] and spark.conf.get(name) == before
+
+
 def test_private_keys_are_masked_whole(spark):
     import corpus_pipeline
 
