@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _S = r"(?U)\s"
+#: The characters that \s stands for.
+SPACE = "\t\n\x0b\x0c\r \x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 #: Literal replacements of glyph names, applied in this order.
 GLYPHS = [
@@ -18,7 +20,7 @@ HEADINGS = ["references", "references and notes", "bibliography", "works cited",
 
 
 def trimmed(x: Column) -> Column:
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    return F.btrim(x, F.lit(SPACE))
 
 
 def collapsed(x: Column) -> Column:
@@ -77,14 +79,17 @@ def hyphens_rejoined(x: Column) -> Column:
     return F.regexp_replace(x, r"-\n(?=[a-z])", "")
 
 
-def glyphs_scrubbed(x: Column) -> Column:
+def glyphs_replaced(x: Column) -> Column:
+    """Glyph names written out and spaces collapsed. All names begin with a bracket: most lines are passed over."""
+    y = x
     for name, text in GLYPHS:
-        x = F.replace(x, F.lit(name), F.lit(text))
-    return trimmed(F.regexp_replace(F.regexp_replace(x, r"\[uni[0-9A-Fa-f]+\]", ""), " {2,}", " "))
+        y = F.replace(y, F.lit(name), F.lit(text))
+    y = F.when(F.contains(x, F.lit("[")), F.regexp_replace(y, r"\[uni[0-9A-Fa-f]+\]", "")).otherwise(x)
+    return F.regexp_replace(y, " {2,}", " ")
 
 
-def _ascii_lower(x: Column) -> Column:
-    return F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def glyphs_scrubbed(x: Column) -> Column:
+    return trimmed(glyphs_replaced(x))
 
 
 def is_page_number(line: Column) -> Column:
@@ -100,13 +105,12 @@ def is_noise(line: Column) -> Column:
 
 
 def is_reference_heading(line: Column) -> Column:
-    x = _ascii_lower(trimmed(line))
-    bare = F.regexp_replace(x, "^[0-9. ()]*", "")
-    return (F.octet_length(x) <= 40) & (bare.isin(HEADINGS) | F.startswith(bare, F.lit("appendix")))
+    x = trimmed(line)
+    return (F.octet_length(x) <= 40) & x.rlike(rf"(?i)^[0-9. ()]*(appendix|({'|'.join(HEADINGS)})\z)")
 
 
 def is_caption(line: Column) -> Column:
-    return _ascii_lower(trimmed(line)).rlike(r"^(figure|fig\.|fig|table|tbl\.|tbl) [0-9]")
+    return trimmed(line).rlike(r"(?i)^(figure|fig\.|fig|table|tbl\.|tbl) [0-9]")
 
 
 def artifact(ordinal: Column) -> Column:

@@ -2,12 +2,115 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from scriptorium.functions import text as T
+from scriptorium.operators.rows import freed
 
 GAP = 3.0  # between the middles of two words of a line, at most
+WORDS = 100_000  # ordered at a time, about
+
+
+def _keys(a: pa.Array) -> list[np.ndarray]:
+    """Sort keys of the values, the last one foremost, as Spark orders them: nulls first, NaN last."""
+    if pa.types.is_integer(a.type) or pa.types.is_floating(a.type):
+        own = a.fill_null(0).to_numpy(zero_copy_only=False)
+    else:
+        own = np.asarray(pc.rank(a, tiebreaker="dense", null_placement="at_start"))
+    return [own, np.asarray(a.is_valid())] if a.null_count else [own]
+
+
+def _begins(keys: list[np.ndarray]) -> np.ndarray:
+    """Whether a row differs from the one before it in a key; NaNs are equal."""
+    out = np.ones(len(keys[0]), bool)
+    out[1:] = np.logical_or.reduce([(k[1:] != k[:-1]) & ((k[1:] == k[1:]) | (k[:-1] == k[:-1])) for k in keys])
+    return out
+
+
+def _joined(text: pa.Array, starts: np.ndarray, by: str) -> pa.Array:
+    """The texts from each start to the next, joined; nulls are left out."""
+    counts = np.add.reduceat(np.asarray(text.is_valid()).astype(np.int64), starts)
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), text.drop_null()), by)
+
+
+def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, list[pa.Array]]]:
+    """(documents, the number of each word's document, fields of the words) of batches of documents (doc_id, w), about WORDS words at a time."""
+    for batch in batches:
+        sizes = np.asarray(pc.list_value_length(batch.column(1)))
+        total, at = np.cumsum(sizes), 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(total, total[at] - sizes[at] + WORDS, "right")))
+            part = batch.slice(at, to - at)
+            yield part.column(0), np.repeat(np.arange(to - at), sizes[at:to]), part.column(1).flatten().flatten()
+            at = to
+
+
+def _lines(batches: Iterable[pa.RecordBatch], geometric: bool) -> Iterator[pa.RecordBatch]:
+    """Batches of lines (doc_id, page_no, line_no, text), whole documents in each, of documents (doc_id, w) with their words in no order."""
+    for docs, doc, (page, col, top, x0, word, y, text) in _parts(batches):
+        col, pages = np.asarray(col), [*_keys(page), doc]
+        if geometric:  # a page's column shows once all of it is there
+            order = np.lexsort(pages)
+            nth = np.empty(len(order), np.int64)
+            nth[order] = np.cumsum(_begins([k[order] for k in pages])) - 1
+            single = np.bincount(nth, np.where(col == 0, 1, -1)) > 0
+            col = np.where(single[nth], 0, col)
+        order = np.lexsort([*_keys(word), *_keys(x0), *_keys(top), col, *pages])
+        doc, col, y = doc[order], col[order], y.to_numpy(zero_copy_only=False)[order]  # y: null as NaN, which breaks a line as well
+        new_page = _begins([k[order] for k in pages])
+        new = new_page.copy()
+        with np.errstate(invalid="ignore"):
+            new[1:] |= (col[1:] != col[:-1]) | ~(np.abs(np.diff(y)) <= GAP)
+        starts = np.flatnonzero(new)
+        texts = _joined(text.take(pa.array(order)), starts, " ")
+        ends = np.append(new_page[starts][1:], True)
+        size = 1 + ends.astype(np.int64)  # with the blank line after a page
+        place = np.cumsum(size) - size
+        first = np.maximum.accumulate(np.where(_begins([doc])[starts], place, 0))  # where the line's document begins
+        at, no, pick = (np.repeat(v, size) for v in (starts, place - first + 1, np.arange(len(starts))))
+        blank = (place + 1)[ends]
+        no[blank] += 1
+        pick[blank] = len(starts)
+        own = pa.concat_arrays([texts, pa.array([""], texts.type)])
+        yield pa.RecordBatch.from_arrays([docs.take(pa.array(doc[at])), page.take(pa.array(order[at])), pa.array(no, pa.int32()), own.take(pa.array(pick))], names=["doc_id", "page_no", "line_no", "text"])
+
+
+def _documents(lines: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text): the lines of each document, joined by newlines."""
+    for batch in lines:
+        starts = np.flatnonzero(np.asarray(batch.column(2)) == 1)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(starts)), _joined(batch.column(3), starts, "\n")], names=["doc_id", "text"])
+
+
+def _laid_out(words: DataFrame, span_mode: str, whole: bool) -> DataFrame:
+    """Lines of positioned words, or the documents that they make up. Words are gathered to their document, one row each, before the only
+    exchange, and ordered there: no word is a row in an exchange, in a sort or on its way to Python. A document is held whole."""
+    mid = F.col("page_width") / 2
+    side = F.when((F.col("x0") + F.col("x1")) / 2 < mid, 1).otherwise(2)
+    geometric = span_mode == "geometric"
+    if geometric:
+        width = F.greatest(F.col("x1") - F.col("x0"), 0.01 * F.col("page_width"))
+        spans = (F.col("x0") < mid) & (F.col("x1") > mid) & (F.least(mid - F.col("x0"), F.col("x1") - mid) / width > 0.1)
+        side = F.when(spans, 0).otherwise(side)
+    mid_y = ((F.col("top") + F.col("bottom")) / 2).cast("double")
+    word = F.struct("page_no", side.alias("col"), "top", "x0", "word_idx", mid_y.alias("y"), "text")
+    rows = words.groupBy("doc_id").agg(F.collect_list(word).alias("w"))
+    added = StructType.fromDDL("line_no int, text string")
+    schema = StructType([rows.schema["doc_id"], added["text"]] if whole else [rows.schema["doc_id"], words.schema["page_no"], *added])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines = _lines(batches, geometric)
+        return _documents(lines) if whole else lines
+
+    return rows.mapInArrow(freed(run), schema)
 
 
 def words_to_lines(words: DataFrame, span_mode: str = "reference") -> DataFrame:
@@ -17,28 +120,7 @@ def words_to_lines(words: DataFrame, span_mode: str = "reference") -> DataFrame:
     own middle, as the reference behaves. "geometric": a word that crosses the middle by over a tenth of its width
     spans; where more words span than not, the page is one column.
     """
-    mid = F.col("page_width") / 2
-    side = F.when((F.col("x0") + F.col("x1")) / 2 < mid, 1).otherwise(2)
-    page = Window.partitionBy("doc_id", "page_no")
-    if span_mode == "geometric":
-        width = F.greatest(F.col("x1") - F.col("x0"), 0.01 * F.col("page_width"))
-        spans = (F.col("x0") < mid) & (F.col("x1") > mid) & (F.least(mid - F.col("x0"), F.col("x1") - mid) / width > 0.1)
-        sided = words.withColumn("col", F.when(spans, 0).otherwise(side))
-        sided = sided.withColumn("col", F.when(F.sum(F.when(F.col("col") == 0, 1).otherwise(-1)).over(page) > 0, 0).otherwise(F.col("col")))
-    else:
-        sided = words.withColumn("col", side)
-    mid_y = (F.col("top") + F.col("bottom")) / 2
-    # all windows partition by doc and page: one exchange
-    order = Window.partitionBy("doc_id", "page_no").orderBy("col", "top", "x0", "word_idx")
-    breaks = F.coalesce((F.col("col") != F.lag("col").over(order)) | (F.abs(F.col("y") - F.lag("y").over(order)) > GAP), F.lit(True))
-    lined = sided.withColumn("y", mid_y).withColumn("new", breaks.cast("int")).withColumn("line", F.sum("new").over(order)).withColumn("at", F.row_number().over(order))
-    joined = lined.groupBy("doc_id", "page_no", "line").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("w")).select("doc_id", "page_no", "line", F.array_join("w.text", " ").alias("text"))
-    doc = Window.partitionBy("doc_id").orderBy("page_no", "line")
-    ends = F.coalesce(F.lead("page_no").over(doc) != F.col("page_no"), F.lit(True)).cast("int")
-    before = F.coalesce(F.sum("ends").over(doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = joined.withColumn("ends", ends).withColumn("line_no", (F.row_number().over(doc) + before).cast("int"))
-    own, blank = F.struct("line_no", "text"), F.struct((F.col("line_no") + 1).alias("line_no"), F.lit("").alias("text"))
-    return numbered.select("doc_id", "page_no", F.explode(F.when(F.col("ends") == 1, F.array(own, blank)).otherwise(F.array(own))).alias("l")).select("doc_id", "page_no", "l.*")
+    return _laid_out(words, span_mode, False)
 
 
 def clean_lines(lines: DataFrame) -> DataFrame:
@@ -54,12 +136,15 @@ def latched(lines: DataFrame) -> DataFrame:
     return lines.withColumn("in_refs", F.max(T.is_reference_heading(F.col("text"))).over(down))
 
 
+def _dropped(x: Column, skip_captions: bool) -> Column:
+    drop = T.is_page_number(x) | T.is_noise(x)
+    return drop | T.is_caption(x) if skip_captions else drop
+
+
 def filter_lines(lines: DataFrame, skip_refs: bool = True, skip_captions: bool = True) -> DataFrame:
     """Lines without references, page numbers, captions and noise; blank lines stay."""
     x = F.col("text")
-    drop = T.is_page_number(x) | T.is_noise(x)
-    if skip_captions:
-        drop = drop | T.is_caption(x)
+    drop = _dropped(x, skip_captions)
     if skip_refs:
         lines, drop = latched(lines), drop | F.col("in_refs")
     return lines.where((T.trimmed(x) == "") | ~drop).drop("in_refs")
@@ -76,8 +161,17 @@ def lines_to_paragraphs(lines: DataFrame) -> DataFrame:
 
 
 def rip(words: DataFrame, skip_refs: bool = True, skip_captions: bool = True, span_mode: str = "reference") -> DataFrame:
-    """Paragraphs of positioned words: all of the above in order."""
-    return lines_to_paragraphs(filter_lines(clean_lines(words_to_lines(words, span_mode)), skip_refs, skip_captions))
+    """Paragraphs of positioned words: all of the above in order, but from the layout on a document stays one row, so that nothing is exchanged or sorted again."""
+    docs = _laid_out(words, span_mode, True)
+    lines = docs.select("doc_id", F.transform(F.split(T.hyphens_rejoined(F.col("text")), "\n"), T.glyphs_scrubbed).alias("l"))
+    kept = F.col("l")
+    if skip_refs:
+        lines = lines.select("doc_id", "l", F.array_position(F.transform("l", T.is_reference_heading), True).cast("int").alias("refs"))
+        kept = F.when(F.col("refs") > 0, F.slice("l", F.lit(1), F.col("refs") - 1)).otherwise(kept)
+    kept = F.filter(kept, lambda x: (x == "") | ~_dropped(x, skip_captions))
+    runs = F.transform(F.split(F.array_join(kept, "\n"), "\n\n+"), lambda x: F.replace(F.btrim(x, F.lit("\n")), F.lit("\n"), F.lit(" ")))
+    each = lines.select("doc_id", F.posexplode_outer(F.filter(runs, lambda x: x != "")).alias("para", "text")).where("para IS NOT NULL")
+    return each.select("doc_id", (F.col("para") + 1).alias("para"), "text")
 
 
 def without_paragraphs(words: DataFrame, paras: DataFrame) -> DataFrame:

@@ -253,7 +253,8 @@ FROM (SELECT doc_id, unnest(range(len(a))) AS k, unnest(a) AS word FROM (SELECT
 
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.filter(F.split("text", "[ \n]+"), lambda z: z != "")
-    each = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(words).alias("k", "word"))
+    # outer, and the test after it: else the words are split twice, as in chunking.paragraphs
+    each = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(words).alias("k", "word")).where("k IS NOT NULL")
     return each.selectExpr(
         "doc_id", "k div 640 AS page_no", "double(612) AS page_width", "k AS word_idx", "word AS text", "double(k % 640 div 320 * 306 + (k % 8) * 36 + 10) AS x0",
         "double(k % 640 div 320 * 306 + (k % 8) * 36 + CASE WHEN k % 37 = 0 THEN 330 ELSE 40 END) AS x1", "double((k % 320) div 8 * 12 + (k % 3) * 0.5) AS top", "double((k % 320) div 8 * 12 + (k % 3) * 0.5 + 8) AS bottom",

@@ -236,3 +236,29 @@ def test_every_glyph_by_hand(spark):
     want = {"[endash]": "-", "[emdash]": "—", "[quotedblleft]": "“", "[quotedblright]": "”", "[quoteleft]": "'", "[quoteright]": "'", "[fi]": "fi", "[fl]": "fl", "[ff]": "ff", "[ffi]": "ffi", "[ffl]": "ffl", "[ft]": "ft", "[st]": "st", "[bracketleft]": "[", "[bracketright]": "]", "[parenleft]": "(", "[parenright]": ")"}
     assert column(spark, T.glyphs_scrubbed, *[f"a{g}b" for g in want]) == [f"a{x}b" for x in want.values()]
     assert column(spark, T.glyphs_scrubbed, *[f"a[{g}]b" for g in ("bullet", "dagger", "daggerdbl", "section", "paragraph")]) == ["ab"] * 5
+
+
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [plan.count(x) for x in ("Exchange", "Window", "Sort ")]
+
+
+def test_layout_gathers_words_before_its_only_exchange(spark):
+    schema = "doc_id int, page_no int, page_width double, word_idx int, text string, x0 double, x1 double, top double, bottom double"
+    # no page number: one page; no height: a line of its own, foremost; no text: nothing between spaces; a line feed in a word
+    rows = [(1, None, 100.0, 0, "b", 10.0, 20.0, 0.0, 8.0), (1, None, 100.0, 1, None, 30.0, 40.0, 0.0, 8.0), (1, None, 100.0, 2, "c\nd", 40.0, 45.0, 2.0, 8.0), (1, None, 100.0, 3, "a", 10.0, 20.0, None, 8.0)]
+    rows += [(1, 2, 100.0, 0, "right", 80.0, 90.0, 0.0, 8.0), (1, 2, 100.0, 1, "left", 10.0, 20.0, 50.0, 58.0), (None, 1, 100.0, 0, "none", 10.0, 20.0, 0.0, 8.0), (None, 1, 100.0, 1, "low", 10.0, 20.0, float("nan"), 8.0)]
+    words = spark.createDataFrame(rows, schema).repartition(3)
+    lines = layout.words_to_lines(words)
+    got = [tuple(r) for r in lines.orderBy("doc_id", "line_no").collect()]
+    assert got == [(None, 1, 1, "none"), (None, 1, 2, "low"), (None, 1, 3, ""), (1, None, 1, "a"), (1, None, 2, "b c\nd"), (1, None, 3, ""), (1, 2, 4, "left"), (1, 2, 5, "right"), (1, 2, 6, "")]
+    plain = spark.createDataFrame(rows, schema).coalesce(1)
+    for made in (layout.words_to_lines(plain), layout.words_to_lines(plain, "geometric"), layout.rip(plain)):
+        made.collect()
+        assert exchanges(made)[1:] == [0, 0]
+
+
+def test_white_space_is_unicodes(spark):
+    each = [chr(k) for k in range(1, 0x3100)]
+    was = column(spark, lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""), *[c + "x " + c for c in each])
+    assert column(spark, T.trimmed, *[c + "x " + c for c in each]) == was
