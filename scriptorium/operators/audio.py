@@ -89,14 +89,20 @@ def merge(wavs: DataFrame, paragraph_ms: int = PARAGRAPH_MS, sentence_ms: int =
     """
     known = flat_mapped(wavs, ["doc_id", "ordinal", "trailing_boundary", "content"], ["content"], HEADER, lambda: lambda content: [parse_header(content or b"")])
     form = F.concat_ws("/", "channels", "sample_rate", "bits_per_sample")
-    gap = silence_length(F.col("sample_rate"), F.col("channels"), F.col("bits_per_sample"), gap_ms(F.col("trailing_boundary"), paragraph_ms, sentence_ms))
-    piece = F.concat(F.substr("content", F.col("data_offset") + 1, F.least("data_len", F.octet_length("content") - F.col("data_offset"))), F.repeat(F.lit("\0"), gap.cast("int")).cast("binary"))
-    whole = known.withColumn("form", form).withColumn("piece", F.when(F.col("error").isNull(), piece).otherwise(F.lit(b"")))
+    gap = silence_length(F.col("sample_rate"), F.col("channels"), F.col("bits_per_sample"), gap_ms(F.col("trailing_boundary"), paragraph_ms, sentence_ms)).cast("int")
+    own = F.substr("content", F.col("data_offset") + 1, F.least("data_len", F.octet_length("content") - F.col("data_offset")))
+    good = F.col("error").isNull()
+    # silence is a number until the document is together: it may be many times the speech
+    part = F.struct("ordinal", F.when(good, gap).alias("gap"), F.when(good, own).alias("own"))
     at_first = [F.min_by(c, "ordinal").alias(c) for c in ("fmt_tag", "channels", "sample_rate", "bits_per_sample")]
     error = F.coalesce(F.min_by("error", F.when(F.col("error").isNotNull(), F.col("ordinal"))), F.when(F.min("form") != F.max("form"), F.lit("formats differ")))
-    joined = whole.groupBy("doc_id").agg(F.expr("listagg(piece) WITHIN GROUP (ORDER BY ordinal)").alias("data"), error.alias("error"), *at_first)
-    head = header_bytes(F.col("fmt_tag"), F.col("channels"), F.col("sample_rate"), F.col("bits_per_sample"), F.octet_length("data").cast("long"))
-    return joined.select("doc_id", F.when(F.col("error").isNull(), F.concat(head, "data")).alias("content"), "error")
+    joined = known.withColumn("form", form).groupBy("doc_id").agg(F.array_sort(F.collect_list(part)).alias("parts"), error.alias("error"), *at_first)
+    # as strings, which are any bytes here: those an array joins in one go
+    pieces = F.transform("parts", lambda p: F.concat(p["own"].cast("string"), F.repeat(F.lit("\0"), p["gap"])))
+    data = F.array_join(pieces, "").cast("binary")
+    size = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + F.octet_length(p["own"]) + p["gap"])
+    head = header_bytes(F.col("fmt_tag"), F.col("channels"), F.col("sample_rate"), F.col("bits_per_sample"), size)
+    return joined.select("doc_id", F.when(F.col("error").isNull(), F.concat(head, data)).alias("content"), "error")
 
 
 def decoded(wavs: DataFrame) -> DataFrame:

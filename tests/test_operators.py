@@ -262,3 +262,14 @@ def test_white_space_is_unicodes(spark):
     each = [chr(k) for k in range(1, 0x3100)]
     was = column(spark, lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""), *[c + "x " + c for c in each])
     assert column(spark, T.trimmed, *[c + "x " + c for c in each]) == was
+
+
+def test_merge_exchanges_no_silence(spark):
+    body = bytes(range(256)) * 2
+    made = lambda n: audio.write_header(1, 1, 24000, 16, n) + body[:n]
+    rows = [(1, 2, made(512), None), (1, 1, made(2), "Paragraph"), (1, None, made(4), "Sentence")]
+    merged = audio.merge(spark.createDataFrame(rows, "doc_id long, ordinal int, content binary, trailing_boundary string"))
+    data = body[:4] + bytes(24 * 180 * 2) + body[:2] + bytes(24 * 360 * 2) + body
+    assert bytes(merged.first().content) == audio.write_header(1, 1, 24000, 16, len(data)) + data
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    assert "repeat(" in plan and "repeat(" not in plan[plan.index("Aggregate") :]
