@@ -87,11 +87,16 @@ def default_run(docs: DataFrame, steps: Steps, cfg: Config) -> Run:
     """A run over texts (doc_id, text): cleaned, chunked, spoken, validated, merged. Speech is written once to the shared folder."""
     keep = Scratch(docs.sparkSession)
     texts = keep(prepared(docs, steps, cfg))
-    made = keep(chunking.chunks(texts, cfg.min_chars, cfg.max_words))
-    out, tries = spoken(made.select(F.struct("doc_id", "ordinal").alias("id"), "text"), steps, cfg)
-    said = keep(out.select("id.*", "audio", "status"))
+    made = chunking.chunks(texts, cfg.min_chars, cfg.max_words)
+    if cfg.validate:
+        made = keep(made)
+        out, tries = spoken(made.select(F.struct("doc_id", "ordinal").alias("id"), "text"), steps, cfg)
+        each = made.join(keep(out.select("id.*", "audio", "status")), ["doc_id", "ordinal"])
+    else:  # a chunk is spoken where it is cut, and its other columns pass through
+        out, tries = spoken(made.select(F.struct(*made.columns).alias("id"), "text"), steps, cfg)
+        each = keep(out.select("id.*", "audio", "status"))
     wav = artifact(F.col("ordinal"))
-    chunks = made.join(said, ["doc_id", "ordinal"]).select(F.col("doc_id").alias("input_file"), "ordinal", wav.alias("wav"), "trailing_boundary", "status", "text", "audio")
+    chunks = each.select(F.col("doc_id").alias("input_file"), "ordinal", wav.alias("wav"), "trailing_boundary", "status", "text", "audio")
     nothing = chunks.limit(0).select(F.col("input_file").alias("doc_id"), F.col("audio").alias("content"), F.lit(None).cast("string").alias("error"))
     return Run(texts, chunks, merged(chunks, cfg) if cfg.merge else nothing, tries)
 
@@ -103,7 +108,8 @@ def failed(run: Run) -> bool:
 
 def merge_only(chunks: DataFrame, files: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame]:
     """(merged (doc_id, content, error), chunk records whose file is missing) from chunk records and files (input_file, wav, content)."""
-    there, missing = records.mergeable(chunks, files.select("input_file", "wav"))
+    _, missing = records.mergeable(chunks, files.select("input_file", "wav"))
+    there, _ = records.mergeable(chunks)  # whether the file is there, the join with it tells
     parts = there.select("input_file", "ordinal", "wav", "trailing_boundary").join(files.select("input_file", "wav", "content"), ["input_file", "wav"])
     return audio.merge(parts.withColumnRenamed("input_file", "doc_id"), cfg.paragraph_gap_ms, cfg.sentence_gap_ms), missing
 

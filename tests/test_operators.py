@@ -273,3 +273,18 @@ def test_merge_exchanges_no_silence(spark):
     assert bytes(merged.first().content) == audio.write_header(1, 1, 24000, 16, len(data)) + data
     plan = merged._jdf.queryExecution().optimizedPlan().toString()
     assert "repeat(" in plan and "repeat(" not in plan[plan.index("Aggregate") :]
+
+
+def test_runs_join_no_speech(spark):
+    docs = spark.createDataFrame([(1, "One is here.\n\nTwo is here too."), (None, "Three is without an id.")], "doc_id long, text string")
+    cfg = Config(llm_clean=False, validate=False, max_words=0)
+    run = drivers.default_run(docs, drivers.Steps(speak=models.tone_speaker), cfg)
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan(run.merged)
+    assert [tuple(r) for r in run.chunks.orderBy("input_file", "ordinal").select("input_file", "ordinal", "trailing_boundary", "status.status").collect()] == [(None, 1, None, "Ok"), (1, 1, "Paragraph", "Ok"), (1, 2, None, "Ok")]
+    files = run.chunks.where("ordinal = 1").select("input_file", "wav", F.col("audio").alias("content"))
+    again, missing = drivers.merge_only(run.chunks.drop("audio"), files, cfg)
+    assert plan(again).count("Join") == 1
+    got = {r.doc_id: bytes(r.content)[44:] for r in again.collect()}
+    assert got == {1: "One is here.".encode("utf-16-le") + bytes(24 * 360 * 2)}
+    assert [(r.input_file, r.ordinal) for r in missing.where("input_file IS NOT NULL").collect()] == [(1, 2)]
